@@ -17,7 +17,7 @@ PREVIEW_ROWS = 100
 def _matches(df: DataFrame, name: str, term: str, regex: bool) -> Column:
     text = text_of(df, name)
     if regex:
-        return F.regexp_like(text, F.lit("(?i)" + term))
+        return F.regexp_like(text, F.lit("(?iu)" + term))
     return F.contains(F.lower(text), F.lit(term.lower()))
 
 

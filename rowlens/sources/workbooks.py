@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowlens.functions.names import COLUMN_ALIASES, clean_columns
 
@@ -137,8 +137,19 @@ def read_workbooks(spark: SparkSession, folder: str, aliases=COLUMN_ALIASES) ->
     boolean or timestamp when all its values are, else text.
     """
     cells = workbook_cells(spark, folder)
-    heads = cells.filter("row = 0").select("file", "sheet", "col", F.col("text").alias("header"))
-    body = cells.filter("row > 0").join(heads, ["file", "sheet", "col"])
+    # Headers that repeat within a sheet are numbered; a column without one is named by place.
+    repeats = F.row_number().over(Window.partitionBy("file", "sheet", "text").orderBy("col")) - 1
+    heads = cells.filter("row = 0").select(
+        "file",
+        "sheet",
+        "col",
+        F.when(repeats == 0, F.col("text")).otherwise(F.concat("text", F.lit("."), repeats)).alias("header"),
+    )
+    body = (
+        cells.filter("row > 0")
+        .join(heads, ["file", "sheet", "col"], "left")
+        .withColumn("header", F.coalesce("header", F.concat(F.lit("Unnamed: "), "col")))
+    )
     number = F.col("text").try_cast("double")
     whole = (F.col("kind") == "n") & (number == F.floor(number)) & (F.abs(number) < 2**53)
     kinds = (
@@ -155,7 +166,7 @@ def read_workbooks(spark: SparkSession, folder: str, aliases=COLUMN_ALIASES) ->
         .collect()  # headers only: one row per column of each sheet
     )
 
-    def value(column) -> F.Column:
+    def value(column) -> Column:
         text = F.col("values")[column.header]
         if column.kinds != 1 or column.kind == "s":
             return text
