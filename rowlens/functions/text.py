@@ -15,8 +15,14 @@ _LETTERED_ESCAPES = ("0b", "0e", "0f", "1a", "1b", "1c", "1d", "1e", "1f")
 
 
 def strip(c: Column) -> Column:
-    """Trim Unicode white space at both ends; looks at the ends only."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trim Unicode white space at both ends.
+
+    A trim builds a table of all characters, so it is made only where an end
+    character asks for it.
+    """
+    blanks = F.lit(WHITESPACE)
+    padded = F.contains(blanks, F.substring(c, 1, 1)) | F.contains(blanks, F.substring(c, -1, 1))
+    return F.when(padded, F.btrim(c, blanks)).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
@@ -84,9 +90,7 @@ def text_of(df: DataFrame, name: str) -> Column:
     return as_text(F.col(f"`{name}`"), df.schema[name].dataType)
 
 
-def _escaped(c: Column) -> Column:
-    listed = F.to_json(F.array(c))
-    quoted = F.substr(listed, F.lit(2), F.length(listed) - 2)
+def _lower_escapes(quoted: Column) -> Column:
     for code in _LETTERED_ESCAPES:
         quoted = F.regexp_replace(
             quoted, rf"(?<!\\)((?:\\\\)*)\\u00{code.upper()}", rf"$1\\u00{code}"
@@ -96,10 +100,9 @@ def _escaped(c: Column) -> Column:
 
 def json_string(c: Column) -> Column:
     """JSON string literal of a text; non-ASCII is kept, control escapes are lower case."""
-    needs_escapes = c.rlike(r'[\x00-\x1F"\\]')
-    return F.when(needs_escapes, _rarely(c, _escaped)).otherwise(
-        F.concat(F.lit('"'), c, F.lit('"'))
-    )
+    listed = F.to_json(F.array(c))
+    quoted = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    return F.when(quoted.contains(r"\u00"), _rarely(quoted, _lower_escapes)).otherwise(quoted)
 
 
 def tokens(c: Column) -> Column:

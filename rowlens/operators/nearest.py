@@ -145,6 +145,12 @@ def _best(found: list[pa.Table], k: int) -> pa.Table:
     return table.filter(pa.array(keep)).append_column("place", pa.array(place[keep] + 1, pa.int32()))
 
 
+def _present(rows):
+    """Rows that have a vector or tokens at all."""
+    payload = rows.column("payload")
+    return rows.filter(pc.is_valid(payload)) if payload.null_count else rows
+
+
 def _scan(questions, batches: Iterator[pa.RecordBatch], k: int, id_type: pa.DataType) -> pa.Table:
     empty = pa.table(
         {"query": pa.array([], pa.int64()), "rank": pa.array([], pa.int64()), "row_id": pa.array([], id_type)}
@@ -152,7 +158,9 @@ def _scan(questions, batches: Iterator[pa.RecordBatch], k: int, id_type: pa.Data
     found = [empty]
     for whole in batches:
         for start in range(0, whole.num_rows, questions.block_rows):
-            batch = whole.slice(start, questions.block_rows)
+            batch = _present(whole.slice(start, questions.block_rows))
+            if not batch.num_rows:
+                continue
             # In row_id order the position in the block breaks ties.
             batch = batch.take(pc.sort_indices(batch.column("row_id")))
             n, loaded = batch.num_rows, questions.load(batch)
@@ -228,15 +236,12 @@ def _search(
     spark, schema = index.sparkSession, _result_schema(queries, index)
     id_type = to_arrow_type(index.schema["row_id"].dataType)
 
-    index = index.filter(F.col("payload").isNotNull())
-    queries = queries.filter(F.col("payload").isNotNull())
-
     def fits(size: tuple[int, int]) -> bool:
         return size[0] <= broadcast_rows and size[1] <= BROADCAST_VALUES
 
     query_size = _size(queries)
     if fits(query_size):
-        shared = spark.sparkContext.broadcast(queries.toArrow())
+        shared = spark.sparkContext.broadcast(_present(queries.toArrow()))
 
         def scan_index(batches):
             questions = kind(shared.value)
@@ -252,7 +257,7 @@ def _search(
             rows = shared.value.combine_chunks().to_batches()
             for batch in batches:
                 if batch.num_rows:
-                    questions = kind(pa.Table.from_batches([batch]))
+                    questions = kind(_present(pa.Table.from_batches([batch])))
                     yield from _answer_table(questions, _scan(questions, rows, k, id_type)).to_batches()
 
         return queries.mapInArrow(scan_questions, schema)
@@ -268,7 +273,7 @@ def _search(
         return df.select("*", own, F.explode(others).alias(f"block{1 - mine}")).groupBy("block0", "block1")
 
     def scan_block(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        questions = kind(asked)
+        questions = kind(_present(asked))
         return _answer_table(questions, _scan(questions, rows.combine_chunks().to_batches(), k, id_type))
 
     grid = blocks(index, "row_id", 0).cogroup(blocks(queries, "query_id", 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowlens.functions.names import clean_columns, union_rows
 from rowlens.functions.text import is_blank, strip
@@ -13,6 +13,8 @@ from rowlens.sources.tables import ParquetTable
 # (16 characters each), so the store is scanned without being shuffled.
 SMALL_BATCH = 500_000
 
+_YEAR_OR_BLANK = r"^(\+?0*(19[0-9]{2}|20[0-9]{2}|2100))?$"
+
 
 def new_rows(store: DataFrame, batch: DataFrame, small_batch: bool = False) -> DataFrame:
     """Rows of ``batch`` whose id the store lacks, one per id.
@@ -72,19 +74,14 @@ def coerce_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     fit goes to the rejects, unchanged.
     """
 
-    def is_year(name: str) -> bool:
-        return "year" in name.lower() and "date" not in name.lower()
-
-    def year(name: str) -> Column:
-        return strip(F.col(f"`{name}`").cast("string")).try_cast("int")
-
     valid, typed = F.lit(True), []
     for name in entries.columns:
         c = F.col(f"`{name}`")
-        if is_year(name):
-            fits = F.coalesce(year(name).between(1900, 2100), F.lit(False))
-            valid = valid & (is_blank(c.cast("string")) | fits)
-            typed.append(year(name).alias(name))
+        if "year" in name.lower() and "date" not in name.lower():
+            text = strip(c.cast("string"))
+            # A pattern, not a failing cast per row: those are slow.
+            valid = valid & F.coalesce(text.rlike(_YEAR_OR_BLANK), F.lit(True))
+            typed.append(F.when(text != "", text.try_cast("int")).alias(name))
         elif isinstance(entries.schema[name].dataType, T.StringType):
             typed.append(F.when(~is_blank(c), c).alias(name))
         else:

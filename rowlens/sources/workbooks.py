@@ -150,8 +150,8 @@ def read_workbooks(spark: SparkSession, folder: str, aliases=COLUMN_ALIASES) ->
         .join(heads, ["file", "sheet", "col"], "left")
         .withColumn("header", F.coalesce("header", F.concat(F.lit("Unnamed: "), "col")))
     )
-    number = F.col("text").try_cast("double")
-    whole = (F.col("kind") == "n") & (number == F.floor(number)) & (F.abs(number) < 2**53)
+    number = F.when(F.col("kind") == "n", F.col("text").try_cast("double"))
+    whole = F.coalesce((number == F.floor(number)) & (F.abs(number) < 2**53), F.lit(False))
     kinds = (
         heads.select("sheet", "header", "col", F.lit(None).cast("string").alias("kind"), F.lit(True).alias("whole"))
         .unionByName(body.select("sheet", "header", "col", "kind", whole.alias("whole")))
