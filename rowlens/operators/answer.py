@@ -26,6 +26,11 @@ def relevance(distance: Column) -> Column:
     return F.lit(1.0) - distance
 
 
+def relevance_percent(distance: Column) -> Column:
+    """``87.50%``, as shown beside a source."""
+    return F.concat(F.format_number(relevance(distance) * 100, 2), F.lit("%"))
+
+
 def contexts(hits: DataFrame) -> DataFrame:
     """``query_id, context, sources`` from ``query_id, rank, row_id, text, distance[, metadata]``.
 

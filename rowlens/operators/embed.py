@@ -7,9 +7,12 @@ remote client or a model file is opened once and called with many texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowlens.functions.text import is_blank, tokens
@@ -78,29 +81,25 @@ def complete(
     return df.withColumn(output, model(F.col(prompt)))
 
 
-def _count_buckets(dim: int):
-    @F.pandas_udf(VECTOR)
-    def counts(buckets: pd.Series) -> pd.Series:
-        lengths = buckets.str.len().to_numpy()
-        flat = np.concatenate(buckets.to_list()) if len(buckets) else np.empty(0, np.int64)
-        cells = np.repeat(np.arange(len(buckets)), lengths) * dim + flat.astype(np.int64)
-        table = np.bincount(cells, minlength=len(buckets) * dim).reshape(-1, dim)
-        return pd.Series(list(table.astype(np.float32)))
-
-    return counts
-
-
 def hashed_counts(c: Column, dim: int = 64) -> Column:
     """Built-in stand-in for a model: token counts in ``dim`` buckets chosen by MD5.
 
-    Tokens are cut and hashed in the JVM; only small integers cross to Python.
-    A blank text has no tokens and gives the zero vector.
+    Texts are cut in the JVM; each Arrow batch hashes its distinct tokens once. A
+    blank text has no tokens and gives the zero vector.
     """
-    bucket = F.transform(
-        F.coalesce(tokens(c), F.array().cast("array<string>")),
-        lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % dim,
-    )
-    return _count_buckets(dim)(bucket)
+
+    @F.arrow_udf(VECTOR)
+    def counts(words: pa.Array) -> pa.Array:
+        encoded = words.flatten().dictionary_encode()
+        bucket = np.array(
+            [int(md5(w.encode()).hexdigest()[:6], 16) % dim for w in encoded.dictionary.to_pylist()], dtype=np.int64
+        )
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        cell = row * dim + bucket[encoded.indices.to_numpy(zero_copy_only=False)]
+        table = np.bincount(cell, minlength=len(words) * dim).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dim, pa.int32()), pa.array(table))
+
+    return counts(F.coalesce(tokens(c), F.array().cast("array<string>")))
 
 
 def hashed_embedding(

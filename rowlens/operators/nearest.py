@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -32,6 +31,9 @@ from rowlens.functions.text import tokens
 # most this many rows and this many values (vector elements or tokens) in all.
 BROADCAST_ROWS = 16_384
 BROADCAST_VALUES = 16_000_000
+# Up to this many hits (questions x k) carry a broadcast hint, so that fetching
+# their texts scans the index without shuffling it.
+BROADCAST_HITS = 500_000
 # Limits of one block when both sides are large.
 BLOCK_ROWS = 16_384
 BLOCK_VALUES = 16_000_000
@@ -247,7 +249,8 @@ def _search(
             questions = kind(shared.value)
             yield from _answer_table(questions, _scan(questions, batches, k, id_type)).to_batches()
 
-        return _top_k(index.mapInArrow(scan_index, schema), k)
+        hits = _top_k(index.mapInArrow(scan_index, schema), k)
+        return F.broadcast(hits) if query_size[0] * k <= BROADCAST_HITS else hits
 
     # An index that may be small is counted; one that is large is not scanned to find out.
     if _estimated_bytes(index) <= 4 * BROADCAST_VALUES and fits(_size(index)):
@@ -365,14 +368,19 @@ def assign_cells(
         centroids.orderBy("cell").select("cell", "embedding").toArrow()
     )
 
-    @F.pandas_udf("int")
-    def nearest_cell(vectors: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def nearest_cell(vectors: pa.Array) -> pa.Array:
         centres, _ = _unit(_matrix(shared.value["embedding"]))
         cells = shared.value["cell"].to_numpy()
-        unit, _ = _unit(np.stack(vectors.to_list()).astype(np.float64))
-        ranks = _ranks(unit @ centres.T)
-        return pd.Series(cells[ranks.argmin(axis=1)], dtype="int32")
-
+        known = vectors.is_valid()
+        unit, _ = _unit(_matrix(vectors.filter(known)))
+        out = np.full(len(vectors), -1, dtype=np.int32)
+        if len(unit):
+            out[known.to_numpy(zero_copy_only=False)] = cells[_ranks(unit @ centres.T).argmin(axis=1)]
+        return pa.array(out, mask=out < 0)
+
+    # Marked so that filters and joins on the cell do not compute it a second time.
+    nearest_cell = nearest_cell.asNondeterministic()
     return index.withColumn("cell", nearest_cell(F.col(vector)))
 
 

@@ -16,14 +16,18 @@ SMALL_BATCH = 500_000
 _YEAR_OR_BLANK = r"^(\+?0*(19[0-9]{2}|20[0-9]{2}|2100))?$"
 
 
+def _identified(rows: DataFrame) -> DataFrame:
+    return rows if ROW_ID in rows.columns else add_row_ids(rows)
+
+
 def new_rows(store: DataFrame, batch: DataFrame, small_batch: bool = False) -> DataFrame:
     """Rows of ``batch`` whose id the store lacks, one per id.
 
     The store side is reduced to distinct ids before the shuffle, and the
     distinct, the duplicate removal and the anti-join share one partitioning by
-    id. With ``small_batch`` the ids of the batch are broadcast to the store.
+    id. Ids the batch brings along are used as they are. With ``small_batch`` the ids of the batch are broadcast to the store.
     """
-    fresh = dedup_rows(add_row_ids(batch))
+    fresh = dedup_rows(_identified(batch))
     known = store.select(ROW_ID)
     if small_batch:
         known = known.join(F.broadcast(fresh.select(ROW_ID)), ROW_ID, "left_semi")
@@ -33,7 +37,7 @@ def new_rows(store: DataFrame, batch: DataFrame, small_batch: bool = False) -> D
 def upsert(store: DataFrame | None, batch: DataFrame, small_batch: bool = False) -> DataFrame:
     """The store with the new rows of the batch added; columns aligned by name."""
     if store is None:
-        return dedup_rows(add_row_ids(batch))
+        return dedup_rows(_identified(batch))
     return union_rows([store, new_rows(store, batch, small_batch)])
 
 
@@ -46,7 +50,7 @@ def pad_to_store(store: DataFrame, rows: DataFrame) -> DataFrame:
 
 def append_rows(store: DataFrame, rows: DataFrame) -> DataFrame:
     """The store plus incoming rows; rows it already holds are left out."""
-    return upsert(store, pad_to_store(store, rows))
+    return upsert(store, add_row_ids(pad_to_store(store, rows)))
 
 
 def delete_rows(store: DataFrame, ids: DataFrame) -> DataFrame:

@@ -218,6 +218,13 @@ SELECT query_id,
 FROM asked a LEFT JOIN contexts USING (query_id)
 """
 
+SOURCE_LIST = f"""
+WITH {_cosine_of_counts(_ASKED, 't')},
+hits AS ({_ranked('SELECT * FROM pairs', TOP_K)})
+SELECT query_id, rank, printf('%.2f', (1 - distance) * 100) || '%' AS relevance, row_id, text
+FROM hits JOIN documents ON doc_id = row_id
+"""
+
 ANSWER_BATCH = f"""{_CONTEXTS}
 SELECT query_id, a.text AS question,
        CASE WHEN {_strip('a.text')} = '' THEN 'Please provide a question.'
@@ -330,6 +337,7 @@ ORACLES: dict[str, str] = {
     "context_build": CONTEXT_BUILD,
     "prompt_build": PROMPT_BUILD,
     "answer_batch": ANSWER_BATCH,
+    "source_list": SOURCE_LIST,
     "query_history": """SELECT conv_id, turn, question, answer FROM (
         SELECT u.conv_id, u.turn, u.text AS question, substr(a.text, 1, 200) AS answer
         FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1

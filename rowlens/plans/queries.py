@@ -18,7 +18,6 @@ from rowlens.operators.embed import embed, hashed_embedding
 from rowlens.operators.identity import add_row_ids, dedup_rows, row_id
 from rowlens.sources.sheets import ingest, merge_sheets
 from rowlens.functions.names import clean_columns
-from rowlens.functions.text import tokens
 from rowlens.streaming.upserts import upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -359,6 +358,12 @@ def answer_batch(spark, folder):
     )
 
 
+def source_list(spark, folder):
+    return text_hits(spark, folder).select(
+        "query_id", "rank", answers.relevance_percent(F.col("distance")).alias("relevance"), "row_id", "text"
+    )
+
+
 def history(spark, folder):
     """User turns with the assistant turn that follows; joined, so a long conversation is no hot group."""
     turns = table(spark, folder, "conversations")
@@ -378,7 +383,7 @@ def query_history(spark, folder):
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint directory of the cluster."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="rowlens-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
@@ -432,6 +437,7 @@ QUERIES: dict[str, Query] = {
     "context_build": context_build,
     "prompt_build": prompt_build,
     "answer_batch": answer_batch,
+    "source_list": source_list,
     "query_history": query_history,
     "stream_upsert": stream_upsert,
 }

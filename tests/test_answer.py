@@ -1,7 +1,7 @@
 import pytest
 
 from rowlens.operators.answer import (
-    NO_QUESTION, NO_RESULT, answer, contexts, log_answers, prompt, read_history, recent,
+    NO_QUESTION, NO_RESULT, answer, contexts, log_answers, prompt, read_history, recent, relevance_percent,
 )
 from pyspark.sql import functions as F
 
@@ -39,6 +39,11 @@ def test_relevance_rounds_like_printed_floats(spark):
     assert [out[i] for i in range(len(values))] == [f"[Result 1] (Relevance: {1 - d:.2f})\nt" for d in values]
 
 
+def test_relevance_percent(spark):
+    df = spark.createDataFrame([(0.125,), (1.5,), (0.0,)], "d double")
+    assert [r.p for r in df.select(relevance_percent(F.col("d")).alias("p")).collect()] == ["87.50%", "-50.00%", "100.00%"]
+
+
 def test_prompt(spark):
     df = spark.createDataFrame([("q?", "ctx"), ("q?", ""), ("q?", None)], "q string, c string")
     texts = [r.p for r in df.select(prompt(F.col("q"), F.col("c")).alias("p")).collect()]
