@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Every character that counts as white space in text.
@@ -77,9 +80,8 @@ def as_text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return _number_text(c)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd HH:mm:ss")).otherwise(
-            F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        )
+        plain = c.cast("string")
+        return F.when(plain.contains("."), F.rpad(plain, 26, "0")).otherwise(plain)
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     return c.cast("string")
@@ -90,19 +92,40 @@ def text_of(df: DataFrame, name: str) -> Column:
     return as_text(F.col(f"`{name}`"), df.schema[name].dataType)
 
 
-def _lower_escapes(quoted: Column) -> Column:
+def json_object(members: Mapping[str, Column]) -> Column:
+    """JSON object of text columns in the given order, nulls kept, ``", "`` and ``": "`` between parts.
+
+    Values are named several times over, so they should be columns rather than
+    expressions. Rows in need of escapes take the JSON writer; a quote inside
+    its values follows a backslash, so ``,"name":`` is found between members only.
+    """
+    if not members:
+        return F.lit("{}")
+    keys = [json.dumps(name, ensure_ascii=False) for name in members]
+    plain = F.concat_ws(
+        ", ",
+        *[
+            F.concat(F.lit(f"{key}: "), F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null")))
+            for key, c in zip(keys, members.values())
+        ],
+    )
+    fields = F.struct(*[c.alias(name) for name, c in members.items()])
+    escaped = F.to_json(fields, {"ignoreNullFields": "false"})
+    for i, key in enumerate(keys):
+        before, after = ("{", "{") if i == 0 else (",", ", ")
+        escaped = F.replace(escaped, F.lit(f"{before}{key}:"), F.lit(f"{after}{key}: "))
+    special = F.concat_ws("", *members.values()).rlike(r'["\\\x00-\x1F]')
+    return F.when(special, escaped).otherwise(F.concat(F.lit("{"), plain, F.lit("}")))
+
+
+def lower_escapes(text: Column) -> Column:
+    """JSON with its control escapes in lower case; ``text`` should be a column."""
+    lowered = text
     for code in _LETTERED_ESCAPES:
-        quoted = F.regexp_replace(
-            quoted, rf"(?<!\\)((?:\\\\)*)\\u00{code.upper()}", rf"$1\\u00{code}"
+        lowered = F.regexp_replace(
+            lowered, rf"(?<!\\)((?:\\\\)*)\\u00{code.upper()}", rf"$1\\u00{code}"
         )
-    return quoted
-
-
-def json_string(c: Column) -> Column:
-    """JSON string literal of a text; non-ASCII is kept, control escapes are lower case."""
-    listed = F.to_json(F.array(c))
-    quoted = F.substr(listed, F.lit(2), F.length(listed) - 2)
-    return F.when(quoted.contains(r"\u00"), _rarely(quoted, _lower_escapes)).otherwise(quoted)
+    return F.when(text.contains(r"\u00"), lowered).otherwise(text)
 
 
 def tokens(c: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rowlens.functions.text import json_string, strip, text_of
+from rowlens.functions.text import json_object, lower_escapes, strip, text_of
 
 ROW_ID = "row_id"
 ID_LENGTH = 16
@@ -18,46 +17,32 @@ def _hash_text(df: DataFrame, name: str) -> Column:
     return strip(text) if isinstance(df.schema[name].dataType, T.StringType) else text
 
 
-def _json_value(df: DataFrame, name: str) -> Column:
-    text = _hash_text(df, name)
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
-        quoted = json_string(text)
-    else:  # the text of numbers, booleans and dates has nothing to escape
-        quoted = F.concat(F.lit('"'), text, F.lit('"'))
-    return F.coalesce(quoted, F.lit("null"))
-
-
-def row_id(
+def add_row_ids(
     df: DataFrame,
     id_columns: Sequence[str] | None = None,
     type_column: str = "pub_type",
     length: int = ID_LENGTH,
-) -> Column:
-    """SHA-256 prefix over the row as JSON with sorted keys, then ``|`` and the type.
+) -> DataFrame:
+    """Add ``row_id``; where the column exists, fill only its nulls.
 
-    The hash covers ``id_columns`` (default: every column but ``row_id``).
+    The id is a SHA-256 prefix over the row as JSON with sorted keys, then ``|``
+    and the type. It covers ``id_columns`` (default: every column but ``row_id``).
+    The texts, the JSON and the hash are three projections, so that none of them
+    is computed for each place it is used in.
     """
     names = sorted(set(id_columns or df.columns) - {ROW_ID})
-    members = [
-        F.concat(
-            F.lit(json.dumps(name, ensure_ascii=False) + ": "),
-            _json_value(df, name),
-        )
-        for name in names
-    ]
-    body = F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}|"))
+    text = {name: f"_text{i}" for i, name in enumerate(names)}
+    staged = df.select("*", *[_hash_text(df, name).alias(text[name]) for name in names])
+    staged = staged.withColumn("_json", json_object({name: F.col(text[name]) for name in names}))
+    kind = F.lit("")
     if type_column in names:
-        body = F.concat(body, F.coalesce(_hash_text(df, type_column), F.lit("None")))
-    return F.substring(F.sha2(body, 256), 1, length)
-
-
-def add_row_ids(df: DataFrame, **options) -> DataFrame:
-    """Add ``row_id``; where the column exists, fill only its nulls."""
-    computed = row_id(df, **options)
+        kind = F.coalesce(F.col(text[type_column]), F.lit("None"))
+    hashed = F.sha2(F.concat(lower_escapes(F.col("_json")), F.lit("|"), kind), 256)
+    computed = F.substring(hashed, 1, length)
     if ROW_ID in df.columns:
         computed = F.coalesce(F.col(ROW_ID), computed)
-    return df.withColumn(ROW_ID, computed)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != ROW_ID]
+    return staged.select(*kept, computed.alias(ROW_ID))
 
 
 def dedup_rows(

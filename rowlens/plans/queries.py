@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowlens.operators import answer as answers, explore, index, nearest, store
 from rowlens.operators.documents import row_metadata, row_text, to_documents
 from rowlens.operators.embed import embed, hashed_embedding
-from rowlens.operators.identity import add_row_ids, dedup_rows, row_id
+from rowlens.operators.identity import add_row_ids, dedup_rows
 from rowlens.sources.sheets import ingest, merge_sheets
 from rowlens.functions.names import clean_columns
 from rowlens.streaming.upserts import upsert_stream
@@ -66,17 +66,15 @@ def customers(spark, folder):
 
 def row_ids(spark, folder):
     docs = table(spark, folder, "documents")
-    return docs.select("doc_id", row_id(docs, ["text", "lang", "source", "n_chars"]).alias("row_id"))
+    return add_row_ids(docs, ["text", "lang", "source", "n_chars"]).select("doc_id", "row_id")
 
 
 def row_ids_typed(spark, folder):
-    orders = table(spark, folder, "orders")
-    return orders.select("o_orderkey", row_id(orders).alias("row_id"))
+    return add_row_ids(table(spark, folder, "orders")).select("o_orderkey", "row_id")
 
 
 def row_ids_lineitem(spark, folder):
-    lines = table(spark, folder, "lineitem")
-    return lines.select("l_orderkey", "l_linenumber", row_id(lines).alias("row_id"))
+    return add_row_ids(table(spark, folder, "lineitem")).select("l_orderkey", "l_linenumber", "row_id")
 
 
 def documents_by_text(spark, folder):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from rowlens.operators.documents import drop_blank, row_text, to_documents
-from rowlens.operators.identity import add_row_ids, dedup_rows, row_id
+from rowlens.operators.identity import add_row_ids, dedup_rows
 from rowlens.sources.sheets import (
     ingest, merge_sheets, read_sheet_folder, read_sheets, write_original_sheets,
 )
@@ -63,7 +63,7 @@ def test_existing_ids_are_kept_and_length_is_a_parameter(spark):
     df = spark.createDataFrame([("mine", "x"), (None, "y")], "row_id string, a string")
     ids = [r.row_id for r in add_row_ids(df).collect()]
     assert ids[0] == "mine" and len(ids[1]) == 16
-    assert len(df.select(row_id(df, length=32).alias("i")).first().i) == 32
+    assert len(add_row_ids(df.drop("row_id"), length=32).first().row_id) == 32
 
 
 def test_dedup_keeps_the_first_and_collapses_before_the_shuffle(spark):

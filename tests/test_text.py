@@ -4,7 +4,7 @@ import random
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from rowlens.functions.text import WHITESPACE, as_text, is_blank, json_string, strip, tokens
+from rowlens.functions.text import WHITESPACE, as_text, is_blank, json_object, lower_escapes, strip, tokens
 from conftest import plan_of
 
 TEXTS = [
@@ -26,10 +26,18 @@ def test_strip_and_blank(spark):
         assert r.b == (r.t is None or not r.t.strip())
 
 
-def test_json_strings(spark):
-    rows = spark.createDataFrame([(t,) for t in TEXTS], "t string").select("t", json_string(F.col("t")).alias("j"))
-    for r in rows.collect():
-        assert r.j == json.dumps(r.t, ensure_ascii=False)
+def python_json(**members):
+    return json.dumps(members, ensure_ascii=False)
+
+
+def test_json_objects(spark):
+    rows = spark.createDataFrame([(t, None) for t in TEXTS] + [(',"b":', '{"t":')], "t string, b string")
+    both = lower_escapes(json_object({"t": F.col("t"), "b": F.col("b")}))
+    for r in rows.select("t", "b", both.alias("j")).collect():
+        assert r.j == python_json(t=r.t, b=r.b)
+    quoted = rows.select(json_object({'é "q"': F.lit("x")}).alias("j")).first()
+    assert quoted.j == json.dumps({'é "q"': "x"}, ensure_ascii=False)
+    assert rows.select(json_object({}).alias("j")).first().j == "{}"
 
 
 def test_number_text(spark):
@@ -58,10 +66,10 @@ def test_other_kinds(spark):
 def test_json_and_strip_of_any_text(spark, texts):
     texts = [t for t in texts if not any(0xD800 <= ord(c) < 0xE000 for c in t)] or [""]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
-        "t", json_string(F.col("t")).alias("j"), strip(F.col("t")).alias("s")
+        "t", lower_escapes(json_object({"t": F.col("t"), "b": F.reverse("t")})).alias("j"), strip(F.col("t")).alias("s")
     ).collect()
     for r in rows:
-        assert json.loads(r.j) == r.t and r.j == json.dumps(r.t, ensure_ascii=False)
+        assert json.loads(r.j)["t"] == r.t and r.j == python_json(t=r.t, b=json.loads(r.j)["b"])
         assert r.s == r.t.strip()
 
 
@@ -72,6 +80,6 @@ def test_tokens(spark):
 
 def test_text_stays_in_the_jvm(spark):
     df = spark.createDataFrame([("a", 1.0)], "t string, x double").select(
-        json_string(strip(F.col("t"))), as_text(F.col("x"), T.DoubleType())
+        json_object({"t": strip(F.col("t"))}), as_text(F.col("x"), T.DoubleType())
     )
     assert "Python" not in plan_of(df)
