@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Container, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -92,12 +92,13 @@ def text_of(df: DataFrame, name: str) -> Column:
     return as_text(F.col(f"`{name}`"), df.schema[name].dataType)
 
 
-def json_object(members: Mapping[str, Column]) -> Column:
+def json_object(members: Mapping[str, Column], safe: Container[str] = ()) -> Column:
     """JSON object of text columns in the given order, nulls kept, ``", "`` and ``": "`` between parts.
 
     Values are named several times over, so they should be columns rather than
     expressions. Rows in need of escapes take the JSON writer; a quote inside
     its values follows a backslash, so ``,"name":`` is found between members only.
+    Members in ``safe`` (numbers and the like) never need escapes.
     """
     if not members:
         return F.lit("{}")
@@ -114,8 +115,11 @@ def json_object(members: Mapping[str, Column]) -> Column:
     for i, key in enumerate(keys):
         before, after = ("{", "{") if i == 0 else (",", ", ")
         escaped = F.replace(escaped, F.lit(f"{before}{key}:"), F.lit(f"{after}{key}: "))
-    special = F.concat_ws("", *members.values()).rlike(r'["\\\x00-\x1F]')
-    return F.when(special, escaped).otherwise(F.concat(F.lit("{"), plain, F.lit("}")))
+    plain = F.concat(F.lit("{"), plain, F.lit("}"))
+    checked = [c for name, c in members.items() if name not in safe]
+    if not checked:
+        return plain
+    return F.when(F.concat_ws("", *checked).rlike(r'["\\\x00-\x1F]'), escaped).otherwise(plain)
 
 
 def lower_escapes(text: Column) -> Column:

@@ -15,9 +15,10 @@ def row_text(df: DataFrame) -> Column:
     for name in df.columns:
         if name == ROW_ID:
             continue
-        value = text_of(df, name)
-        label = F.lit(display_label(name) + ": ")
-        parts.append(F.when(strip(value) != "", F.concat(label, value)))
+        part = F.concat(F.lit(display_label(name) + ": "), text_of(df, name))
+        if isinstance(df.schema[name].dataType, T.StringType):
+            part = F.when(strip(F.col(f"`{name}`")) != "", part)
+        parts.append(part)
     return F.concat_ws(" | ", *parts)
 
 

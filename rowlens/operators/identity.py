@@ -10,6 +10,7 @@ from rowlens.functions.text import json_object, lower_escapes, strip, text_of
 
 ROW_ID = "row_id"
 ID_LENGTH = 16
+_NO_ESCAPES = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _hash_text(df: DataFrame, name: str) -> Column:
@@ -33,7 +34,8 @@ def add_row_ids(
     names = sorted(set(id_columns or df.columns) - {ROW_ID})
     text = {name: f"_text{i}" for i, name in enumerate(names)}
     staged = df.select("*", *[_hash_text(df, name).alias(text[name]) for name in names])
-    staged = staged.withColumn("_json", json_object({name: F.col(text[name]) for name in names}))
+    safe = {f.name for f in df.schema.fields if isinstance(f.dataType, _NO_ESCAPES)}
+    staged = staged.withColumn("_json", json_object({name: F.col(text[name]) for name in names}, safe))
     kind = F.lit("")
     if type_column in names:
         kind = F.coalesce(F.col(text[type_column]), F.lit("None"))

@@ -105,13 +105,12 @@ class RowStore:
     def save(self, batch: DataFrame) -> dict[str, int]:
         """Append the rows of ``batch`` that are new; ``{added, skipped}``."""
         batch = add_row_ids(batch)
-        stored = self.load()
+        stored, total = self.load(), batch.count()
         if stored is None:
             added = self.table.replace(dedup_rows(batch))
         else:
-            small = batch.select(ROW_ID).limit(SMALL_BATCH + 1).count() <= SMALL_BATCH
-            added = self.table.append(new_rows(stored, batch, small))
-        return {"added": added, "skipped": batch.count() - added}
+            added = self.table.append(new_rows(stored, batch, small_batch=total <= SMALL_BATCH))
+        return {"added": added, "skipped": total - added}
 
     def append(self, rows: DataFrame) -> dict[str, int]:
         """As :meth:`save`, for rows with raw headers or missing columns."""
