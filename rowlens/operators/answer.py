@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowlens.functions.text import is_blank
 from rowlens.operators.embed import CompleteFunction, complete
+from rowlens.operators.index import VectorIndex
 
 # The texts a question can be answered with when no model is asked,
 # and the wording of the prompt.
@@ -93,6 +94,18 @@ def answer(
     return answered.select(*columns)
 
 
+def ask(
+    index: VectorIndex,
+    questions: DataFrame,
+    k: int = 5,
+    make_function: Callable[[], CompleteFunction] | None = None,
+    **options,
+) -> DataFrame:
+    """Search and :func:`answer` for ``questions(query_id, text)``; blank ones are not searched."""
+    hits = index.search(questions.filter(~is_blank(F.col("text"))), k)
+    return answer(questions, hits, make_function, **options)
+
+
 # -- history ---------------------------------------------------------------
 
 

@@ -73,7 +73,7 @@ def profile(df: DataFrame, skip: Sequence[str] = ("row_id",), exact: bool = True
     cells = df.select([_cell(df, c).alias(c) for c in names])
     if exact:
         by_value = (
-            cells.unpivot([], names, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+            cells.unpivot([], [F.col(f"`{c}`") for c in names], "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         )
         found = by_value.filter(F.col("value").isNotNull()).groupBy("column").agg(
             F.sum("n").alias("non_null"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowlens.functions.vectors import norm
 from rowlens.operators.documents import drop_blank, to_documents
@@ -19,10 +19,14 @@ INDEX_SCHEMA = "row_id string, text string, metadata string, embedding array<flo
 ENTRY = ["row_id", "text", "metadata", "embedding", "norm"]
 
 
+def _columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def missing_documents(documents: DataFrame, index: DataFrame) -> DataFrame:
     """Documents with text whose id the index lacks, one per id. Runs before any embedding."""
     ids = index.select(ROW_ID).distinct()
-    return dedup_rows(drop_blank(documents)).join(ids, ROW_ID, "left_anti").select(*documents.columns)
+    return dedup_rows(drop_blank(documents)).join(ids, ROW_ID, "left_anti").select(*_columns(documents))
 
 
 def index_entries(documents: DataFrame, embedder: Embedder = hashed_embedding) -> DataFrame:
@@ -73,7 +77,7 @@ def orphans(store: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def delete_entries(index: DataFrame, ids: DataFrame) -> DataFrame:
-    return index.join(ids.select(ROW_ID).distinct(), ROW_ID, "left_anti").select(*index.columns)
+    return index.join(ids.select(ROW_ID).distinct(), ROW_ID, "left_anti").select(*_columns(index))
 
 
 def with_payload(hits: DataFrame, index: DataFrame, *columns: str) -> DataFrame:

@@ -362,8 +362,9 @@ def assign_cells(
     index: DataFrame, centroids: DataFrame, vector: str = "embedding", max_cells: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Add ``cell``, the nearest centre. Write the result partitioned by ``cell`` to read probed cells only."""
-    if centroids.count() > max_cells:
-        raise ValueError(f"more than {max_cells} cells")
+    rows, values = _size(centroids.select(F.col("embedding").alias("payload")))
+    if rows > max_cells or values > BROADCAST_VALUES:
+        raise ValueError(f"{rows} cells of {values} values in all are too many to send to every task")
     shared = index.sparkSession.sparkContext.broadcast(
         centroids.orderBy("cell").select("cell", "embedding").toArrow()
     )

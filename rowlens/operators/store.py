@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowlens.functions.names import clean_columns, union_rows
 from rowlens.functions.text import is_blank, strip
@@ -16,6 +16,11 @@ SMALL_BATCH = 500_000
 _YEAR_OR_BLANK = r"^(\+?0*(19[0-9]{2}|20[0-9]{2}|2100))?$"
 
 
+def _columns(df: DataFrame) -> list[Column]:
+    """All columns; cleaned headers may still hold dots."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def _identified(rows: DataFrame) -> DataFrame:
     return rows if ROW_ID in rows.columns else add_row_ids(rows)
 
@@ -31,7 +36,7 @@ def new_rows(store: DataFrame, batch: DataFrame, small_batch: bool = False) -> D
     known = store.select(ROW_ID)
     if small_batch:
         known = known.join(F.broadcast(fresh.select(ROW_ID)), ROW_ID, "left_semi")
-    return fresh.join(known.distinct(), ROW_ID, "left_anti").select(*fresh.columns)
+    return fresh.join(known.distinct(), ROW_ID, "left_anti").select(*_columns(fresh))
 
 
 def upsert(store: DataFrame | None, batch: DataFrame, small_batch: bool = False) -> DataFrame:
@@ -54,11 +59,11 @@ def append_rows(store: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def delete_rows(store: DataFrame, ids: DataFrame) -> DataFrame:
-    return store.join(ids.select(ROW_ID).distinct(), ROW_ID, "left_anti").select(*store.columns)
+    return store.join(ids.select(ROW_ID).distinct(), ROW_ID, "left_anti").select(*_columns(store))
 
 
 def find_rows(store: DataFrame, ids: DataFrame) -> DataFrame:
-    return store.join(ids.select(ROW_ID).distinct(), ROW_ID, "left_semi").select(*store.columns)
+    return store.join(ids.select(ROW_ID).distinct(), ROW_ID, "left_semi").select(*_columns(store))
 
 
 def find_row(store: DataFrame, row_id: str) -> DataFrame:
@@ -89,7 +94,7 @@ def coerce_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         elif isinstance(entries.schema[name].dataType, T.StringType):
             typed.append(F.when(~is_blank(c), c).alias(name))
         else:
-            typed.append(c)
+            typed.append(c.alias(name))
     return entries.filter(valid).select(typed), entries.filter(~valid)
 
 

@@ -1,10 +1,13 @@
 import pytest
 
 from rowlens.operators.answer import (
-    NO_QUESTION, NO_RESULT, answer, contexts, log_answers, prompt, read_history, recent, relevance_percent,
+    NO_QUESTION, NO_RESULT, answer, ask, contexts, log_answers, prompt, read_history, recent, relevance_percent,
 )
 from pyspark.sql import functions as F
 
+from rowlens.operators.identity import add_row_ids
+from rowlens.operators.index import VectorIndex
+
 HITS = [
     (1, 2, "b", "second", 0.875, '{"n":2}'),
     (1, 1, "a", "first", 0.125, '{"n":1}'),
@@ -83,3 +86,12 @@ def test_history(spark, tmp_path, questions, hits):
     out = recent(long).collect()
     assert [r.question for r in out] == [f"q{i}" for i in range(14, 4, -1)]
     assert len(out[0].answer) == 200
+
+
+def test_ask_an_index(spark, tmp_path, questions):
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    assert {r.answer for r in ask(index, questions).collect()} == {NO_QUESTION, NO_RESULT}
+    index.update(add_row_ids(spark.createDataFrame([("what now",), ("and then",)], "title string")))
+    out = {r.query_id: r for r in ask(index, questions, k=1).collect()}
+    assert out[1].answer == "Title: what now" and out[2].answer == "Title: and then"
+    assert out[3].answer == out[5].answer == NO_QUESTION and len(out[1].sources) == 1

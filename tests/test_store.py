@@ -2,10 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
+from rowlens.operators.documents import to_documents
+from rowlens.operators.explore import display_strings, profile, search
 from rowlens.operators.identity import add_row_ids
 from rowlens.operators.store import (
     RowStore, append_rows, coerce_entries, delete_rows, find_row, find_rows, new_rows, upsert,
 )
+from rowlens.sources.sheets import ingest
 from rowlens.sources.tables import ParquetTable
 
 COLUMNS = ["title", "year"]
@@ -131,3 +134,27 @@ def test_coerce_entries(spark):
         ("a", 2023, "soon"), (None, None, None), ("e", None, "t"), ("g", 1900, "t"), ("h", 2100, "t")
     }
     assert sorted(r.name for r in bad.collect()) == ["b", "c", "f", "i"]
+
+
+def test_headers_with_dots(spark, store):
+    rows = ingest({"s": spark.createDataFrame([("1", "x"), ("2", None)], "`No.` string, `Vol. Nr` string")})
+    assert rows.columns == ["no.", "vol._nr", "source_sheet", "row_id"]
+    assert store.save(rows) == {"added": 2, "skipped": 0}
+    assert store.save(rows.union(rows)) == {"added": 0, "skipped": 4}
+    loaded = store.load()
+    assert search(loaded, "x", ["vol._nr"]).count() == 1
+    assert {r["column"]: r.non_null for r in profile(loaded).collect()} == {"no.": 2, "vol._nr": 1, "source_sheet": 2}
+    assert {r.text for r in to_documents(loaded).collect()} == {"No.: 1 | Vol. Nr: x | Source Sheet: s", "No.: 2 | Source Sheet: s"}
+    assert delete_rows(loaded, loaded.limit(1)).count() == 1
+    good, _ = coerce_entries(loaded.select("`no.`"))
+    assert good.columns == ["no."] and display_strings(good).count() == 2
+
+
+@pytest.mark.parametrize("small_batch", [False, True])
+def test_upsert_where_a_third_of_the_rows_is_one_row(spark, small_batch):
+    ids = spark.range(9_000)
+    hot = ids.select(F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("title"))
+    stored = add_row_ids(hot.limit(4_000)).unionByName(add_row_ids(hot.filter("title = 'same'")))
+    out = new_rows(stored, hot, small_batch)
+    known = {r.title for r in stored.select("title").collect()}
+    assert sorted(r.title for r in out.collect()) == sorted({r.title for r in hot.collect()} - known)
