@@ -16,6 +16,8 @@ from rowlens.sources.tables import ParquetTable
 # DataFrame with ``text`` -> the same with ``embedding``; see operators.embed.
 Embedder = Callable[[DataFrame], DataFrame]
 INDEX_SCHEMA = "row_id string, text string, metadata string, embedding array<float>, norm double"
+# Up to this many ids (16 characters each) are small enough to broadcast.
+FEW_IDS = 500_000
 ENTRY = ["row_id", "text", "metadata", "embedding", "norm"]
 
 
@@ -23,10 +25,21 @@ def _columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
-def missing_documents(documents: DataFrame, index: DataFrame) -> DataFrame:
-    """Documents with text whose id the index lacks, one per id. Runs before any embedding."""
-    ids = index.select(ROW_ID).distinct()
-    return dedup_rows(drop_blank(documents)).join(ids, ROW_ID, "left_anti").select(*_columns(documents))
+def missing_ids(documents: DataFrame, index: DataFrame) -> DataFrame:
+    """Ids the index lacks; both sides are read and shuffled as ids only."""
+    known = index.select(ROW_ID).distinct()
+    return documents.select(ROW_ID).distinct().join(known, ROW_ID, "left_anti")
+
+
+def missing_documents(documents: DataFrame, index: DataFrame, few: bool = False) -> DataFrame:
+    """Documents with text whose id the index lacks, one per id. Runs before any embedding.
+
+    With ``few`` missing ids (counted by the caller) they are broadcast, and the
+    documents the index already holds are never shuffled.
+    """
+    ids = missing_ids(documents, index)
+    wanted = documents.join(F.broadcast(ids) if few else ids, ROW_ID, "left_semi")
+    return dedup_rows(drop_blank(wanted)).select(*_columns(documents))
 
 
 def index_entries(documents: DataFrame, embedder: Embedder = hashed_embedding) -> DataFrame:
@@ -110,11 +123,13 @@ class VectorIndex:
 
     def update(self, rows: DataFrame) -> dict[str, int]:
         """Embed and add the rows the index lacks; ``{added, skipped}``."""
-        documents = to_documents(rows)
+        documents, entries = to_documents(rows), self.read()
         total = drop_blank(documents).count()
-        added = self.table.append(
-            index_entries(missing_documents(documents, self.read()), self.embedder)
-        )
+        missing = missing_ids(documents, entries).count()
+        if not missing:
+            return {"added": 0, "skipped": total}
+        fresh = missing_documents(documents, entries, few=missing <= FEW_IDS)
+        added = self.table.append(index_entries(fresh, self.embedder))
         return {"added": added, "skipped": total - added}
 
     def rebuild(self, rows: DataFrame) -> int:

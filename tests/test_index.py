@@ -71,11 +71,26 @@ def test_missing_documents_come_before_the_model(spark):
     assert tuple(incremental_counts(docs, index).first()) == (1, 2)
     assert [r.row_id for r in orphans(docs, index).collect()] == ["z"]
     assert tuple(sync_counts(docs, index).first()) == (2, 1, 3, 3)
+    assert [r.row_id for r in missing_documents(docs, index, few=True).collect()] == ["b"]
     plan = plan_of(measured(missing_documents(docs, index)))
     assert plan.index("ArrowEvalPython") < plan.index("LeftAnti"), "the model sits above the join"
     assert rebuilt_index(docs, measured).count() == 2
 
 
+def test_indexed_documents_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([("a", "x", "{}"), ("b", "y", "{}")], "row_id string, text string, metadata string").write.parquet(path)
+    docs, index = spark.read.parquet(path), spark.createDataFrame([("a",)], "row_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(missing_documents(docs, index, few=True))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi, BuildRight" in plan and "ReadSchema: struct<row_id:string>" in plan
+    below = plan[plan.index("LeftSemi, BuildRight"):]
+    assert below.index("FileScan") < below.index("Exchange"), "the scan of the texts feeds the join directly"
+
+
 def test_update_is_incremental(spark, index):
     assert index.is_empty() and index.stats() == {"name": "titles", "document_count": 0, "path": index.path}
     assert index.update(rows(spark, "a", "bb")) == {"added": 2, "skipped": 0}
