@@ -46,6 +46,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def hash_share(doc_id: str, seed: int) -> Column:
+    """A number from 0 to 1 that depends on the id alone."""
+    return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1_000_003)) / F.lit(1_000_003)
+
+
 def text_blocks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES
 ) -> Iterator[pa.RecordBatch]:
