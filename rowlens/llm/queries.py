@@ -15,6 +15,7 @@ from rowlens.llm.embedding_dedup import embedding_groups
 from rowlens.llm.language import identify
 from rowlens.llm.licenses import scan_licenses
 from rowlens.llm.mixing import mix
+from rowlens.llm.oracles import LLM_ORACLES
 from rowlens.llm.packing import pack
 from rowlens.llm.quality import quality
 from rowlens.llm.simhash import simhash_groups
@@ -51,7 +52,8 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def licenses(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_licenses(table(spark, folder, "documents"))
+    found = scan_licenses(table(spark, folder, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
 
 
 def languages(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,4 +94,4 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": languages,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+__all__ = ["LLM_ORACLES", "LLM_QUERIES"]
