@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Collection, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -68,26 +69,38 @@ def clean_columns(
     return by_position.select([merged(group).alias(name) for name, group in positions.items()])
 
 
+_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+_DECIMAL = re.compile(r"decimal\((\d+),(\d+)\)")
+
+
+def common_type(kinds: Collection[str]) -> str:
+    """The type that holds every value of these types apart from every other one; text where no number does."""
+    kinds = set(kinds) - {"void"} or set(kinds)
+    if len(kinds) == 1:
+        return next(iter(kinds))
+    if kinds <= _DIGITS.keys():
+        return max(kinds, key=_DIGITS.get)
+    if kinds <= {"tinyint", "smallint", "int", "float", "double"}:
+        return "double"  # not with bigint: neighbours beyond 2**53 would become one value
+    shapes = [(int(m[1]) - int(m[2]), int(m[2])) for k in kinds if (m := _DECIMAL.fullmatch(k))]
+    shapes += [(_DIGITS[k], 0) for k in kinds if k in _DIGITS]
+    whole, places = max((w for w, _ in shapes), default=0), max((p for _, p in shapes), default=0)
+    if len(shapes) == len(kinds) and whole + places <= 38:
+        return f"decimal({whole + places},{places})"
+    return "string"
+
+
 def align_types(frames: list[DataFrame]) -> list[DataFrame]:
     """Give a column one type in all frames: the wider number, else text.
 
     A plain union would cast text to numbers under ANSI rules and fail on the
     first word.
     """
-    wider = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3, "float": 4, "double": 5}
     seen: dict[str, set[str]] = {}
     for df in frames:
         for name, kind in df.dtypes:
             seen.setdefault(name, set()).add(kind)
-
-    target: dict[str, str] = {}
-    for name, kinds in seen.items():
-        kinds = kinds - {"void"} or kinds
-        if len(kinds) > 1:
-            numeric = all(k in wider for k in kinds)
-            target[name] = max(kinds, key=wider.get) if numeric else "string"
-        else:
-            target[name] = next(iter(kinds))
+    target = {name: common_type(kinds) for name, kinds in seen.items()}
 
     def cast_to(df: DataFrame) -> DataFrame:
         if all(target[name] == kind for name, kind in df.dtypes):

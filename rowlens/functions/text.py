@@ -71,6 +71,12 @@ def _number_text(c: Column) -> Column:
     return F.when(usual, raw).otherwise(_rarely(c, _unusual_number))
 
 
+def _utc(c: Column) -> Column:
+    """An instant as the wall clock of UTC, whatever the zone of the session."""
+    seconds = (F.unix_micros(c).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def as_text(c: Column, kind: T.DataType) -> Column:
     """One fixed text per value, whatever the source; null (and NaN) stay null."""
     if isinstance(kind, T.StringType):
@@ -80,7 +86,7 @@ def as_text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return _number_text(c)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        plain = c.cast("string")
+        plain = (_utc(c) if isinstance(kind, T.TimestampType) else c).cast("string")
         return F.when(plain.contains("."), F.rpad(plain, 26, "0")).otherwise(plain)
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)

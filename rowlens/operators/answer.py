@@ -15,9 +15,18 @@ from rowlens.operators.index import VectorIndex
 NO_QUESTION = "Please provide a question."
 NO_RESULT = "I don't know based on the uploaded data. No relevant information was found in the dataset."
 NO_CONTEXT = "No relevant context found."
-PROMPT_HEAD = "Context from the Excel dataset:\n"
-PROMPT_QUESTION = "\n\nQuestion: "
-PROMPT_TAIL = "\n\nPlease answer the question based only on the above context."
+PROMPT = """Context from the Excel dataset:
+{context}
+
+Question: {question}
+
+Please answer the question based only on the above context."""
+
+# What a model is told before any prompt, unless the caller says otherwise.
+SYSTEM_PROMPT = (
+    "You answer questions about rows of a table. Rely on the rows you are shown and on nothing else. "
+    "If they do not hold the answer, say that the data does not tell. Name the rows you used."
+)
 
 ANSWER_PREVIEW = 200
 HISTORY_ROWS = 10
@@ -52,26 +61,25 @@ def contexts(hits: DataFrame) -> DataFrame:
 
 
 def prompt(question: Column, context: Column) -> Column:
-    return F.concat(
-        F.lit(PROMPT_HEAD),
-        F.when(F.coalesce(context, F.lit("")) == "", NO_CONTEXT).otherwise(context),
-        F.lit(PROMPT_QUESTION),
-        question,
-        F.lit(PROMPT_TAIL),
-    )
+    head, rest = PROMPT.split("{context}")
+    middle, tail = rest.split("{question}")
+    shown = F.when(F.coalesce(context, F.lit("")) == "", NO_CONTEXT).otherwise(context)
+    return F.concat(F.lit(head), shown, F.lit(middle), question, F.lit(tail))
 
 
 def answer(
     questions: DataFrame,
     hits: DataFrame,
     make_function: Callable[[], CompleteFunction] | None = None,
-    system_prompt: str | None = None,
+    system_prompt: str | None = SYSTEM_PROMPT,
     return_sources: bool = True,
 ) -> DataFrame:
-    """``query_id, question, answer, context, sources`` for ``questions(query_id, text)``.
+    """``query_id, question, answer, context, sources[, error]`` for ``questions(query_id, text)``.
 
     A blank question is told so; one without hits gets the fixed reply; only the
-    rest reaches the model. Without a model the answer is the text of the first hit.
+    rest reaches the model. Without a model the answer is the text of the first
+    hit. With one, a question it fails on has that as its answer and in ``error``;
+    the others are answered.
     """
     blank, found = is_blank(F.col("question")), F.size("sources") > 0
     joined = (
@@ -85,10 +93,14 @@ def answer(
     else:
         ask = F.when(found, prompt(F.col("question"), F.col("context")))
         answered = complete(
-            joined.withColumn("prompt", ask), make_function, "prompt", "model", system_prompt
+            joined.withColumn("prompt", ask), make_function, "prompt", "model", system_prompt, "error"
         )
+        failed = F.concat(F.lit("Error generating answer: "), F.col("error"))
+        answered = answered.withColumn("model", F.coalesce("model", failed))
     reply = F.when(blank, NO_QUESTION).when(found, F.col("model")).otherwise(NO_RESULT)
     columns = ["query_id", "question", reply.alias("answer"), "context"]
+    if make_function is not None:
+        columns.append("error")
     if return_sources:
         columns.append(F.coalesce("sources", F.array().cast(joined.schema["sources"].dataType)).alias("sources"))
     return answered.select(*columns)
@@ -110,7 +122,11 @@ def ask(
 
 
 def log_answers(answers: DataFrame, path: str) -> None:
-    """Append ``asked_at, question, answer`` to the history."""
+    """Append ``asked_at, question, answer`` to the history.
+
+    This runs the plan of ``answers``, its model calls included; to show answers
+    as well as keep them, log first and read the history.
+    """
     answers.select(F.current_timestamp().alias("asked_at"), "question", "answer").write.mode("append").parquet(path)
 
 
@@ -118,9 +134,11 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def recent(history: DataFrame, *newest_first: str, n: int = HISTORY_ROWS) -> DataFrame:
+def recent(
+    history: DataFrame, *newest_first: str, n: int = HISTORY_ROWS, preview: int = ANSWER_PREVIEW
+) -> DataFrame:
     """The last ``n`` questions, newest first, answers cut to a preview."""
     keys = newest_first or ("asked_at",)
-    return history.withColumn("answer", F.substring("answer", 1, ANSWER_PREVIEW)).orderBy(
+    return history.withColumn("answer", F.substring("answer", 1, preview)).orderBy(
         *[F.desc(c) for c in keys]
     ).limit(n)

@@ -23,36 +23,84 @@ CompleteFunction = Callable[[Sequence[str], str | None], Sequence[str]]
 VECTOR = T.ArrayType(T.FloatType())
 
 
+def _each_or_all(fn: Callable[[list], Sequence], items: list, keep_errors: bool) -> tuple[list, list[str | None]]:
+    """Results of one call for all items; if it fails and errors are kept, of one call for each."""
+    try:
+        out = list(fn(items))
+        if len(out) != len(items):
+            raise ValueError(f"the function returned {len(out)} results for {len(items)} items")
+        return out, [None] * len(items)
+    except Exception as e:
+        if not keep_errors:
+            raise
+        if len(items) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    pairs = [_each_or_all(fn, [item], True) for item in items]
+    return [out[0] for out, _ in pairs], [errors[0] for _, errors in pairs]
+
+
+def _model_column(make_call: Callable[[], Callable[[list], Sequence]], kind: T.DataType, keep_errors: bool):
+    """A column function from text to ``struct(value, error)``; nulls never reach the model."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fn = make_call()
+        for items in batches:
+            out = pd.DataFrame({"value": None, "error": None}, index=items.index, dtype=object)
+            present = items[items.notna()]
+            if len(present):
+                values, errors = _each_or_all(fn, present.tolist(), keep_errors)
+                for row, value, error in zip(present.index, values, errors):
+                    out.at[row, "value"], out.at[row, "error"] = value, error
+            yield out
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    result = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])
+    return F.pandas_udf(run, result).asNondeterministic()
+
+
+def _with_model(df: DataFrame, called: Column, value: Callable[[Column], Column], output: str, error: str | None) -> DataFrame:
+    call = "model_call"
+    while call in df.columns:
+        call = f"_{call}"
+    added = df.withColumn(call, called).withColumn(output, value(F.col(call)["value"]))
+    return (added if error is None else added.withColumn(error, F.col(call)["error"])).drop(call)
+
+
 def embed(
     df: DataFrame,
     make_function: Callable[[], EmbedFunction],
     dim: int,
     text: str = "text",
     output: str = "embedding",
+    error: str | None = None,
 ) -> DataFrame:
     """Add a vector per text; blank texts get the zero vector and never reach the model.
 
     ``make_function`` returns ``fn(list of texts) -> list of vectors``. Batch
     size is ``spark.sql.execution.arrow.maxRecordsPerBatch``. The column is
     marked non-deterministic so that no plan calls the model twice per row.
+    A failing call ends the job, unless ``error`` names a column: then each text
+    of the batch is tried by itself, and one that fails has no vector and its
+    message there.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make_call():
         fn = make_function()
-        for texts in batches:
-            present = texts[texts.notna()]
-            vectors = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            if len(present):
-                rows = [np.asarray(v, dtype=np.float32) for v in fn(present.tolist())]
-                if len(rows) != len(present) or any(v.shape != (dim,) for v in rows):
-                    raise ValueError(f"the embedding function must return one vector of {dim} per text")
-                vectors[present.index] = pd.Series(rows, index=present.index, dtype=object)
-            yield vectors
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    model = F.pandas_udf(run, VECTOR).asNondeterministic()
-    c = F.col(text)
-    return df.withColumn(output, F.coalesce(model(F.when(~is_blank(c), c)), zero_vector(dim)))
+        def call(texts: list[str]) -> list[np.ndarray]:
+            rows = [np.asarray(v, dtype=np.float32) for v in fn(texts)]
+            if len(rows) != len(texts) or any(v.shape != (dim,) for v in rows):
+                raise ValueError(f"the embedding function must return one vector of {dim} per text")
+            return rows
+
+        return call
+
+    c = F.col(f"`{text}`")
+    model = _model_column(make_call, VECTOR, error is not None)
+    blank = is_blank(c)
+    return _with_model(
+        df, model(F.when(~blank, c)), lambda v: F.when(blank, zero_vector(dim)).otherwise(v), output, error
+    )
 
 
 def complete(
@@ -61,24 +109,20 @@ def complete(
     prompt: str = "prompt",
     output: str = "answer",
     system_prompt: str | None = None,
+    error: str | None = None,
 ) -> DataFrame:
     """Add a model answer per prompt; null prompts stay null.
 
     ``make_function`` returns ``fn(list of prompts, system_prompt) -> list of answers``.
+    ``error`` as in :func:`embed`.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make_call():
         fn = make_function()
-        for prompts in batches:
-            present = prompts[prompts.notna()]
-            answers = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
-            if len(present):
-                answers[present.index] = list(fn(present.tolist(), system_prompt))
-            yield answers
+        return lambda prompts: fn(prompts, system_prompt)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    model = F.pandas_udf(run, T.StringType()).asNondeterministic()
-    return df.withColumn(output, model(F.col(prompt)))
+    model = _model_column(make_call, T.StringType(), error is not None)
+    return _with_model(df, model(F.col(f"`{prompt}`")), lambda v: v, output, error)
 
 
 def hashed_counts(c: Column, dim: int = 64) -> Column:

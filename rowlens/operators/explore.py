@@ -59,45 +59,43 @@ def _cell(df: DataFrame, name: str) -> Column:
     return as_text(c, kind)
 
 
-def profile(df: DataFrame, skip: Sequence[str] = ("row_id",), exact: bool = True) -> DataFrame:
+def profile(
+    df: DataFrame, skip: Sequence[str] = ("row_id",), exact: bool = True, sample_length: int = SAMPLE_LENGTH
+) -> DataFrame:
     """``column, type, non_null, n_distinct, sample`` of every column.
 
-    Exact: cells are counted per (column, value) first, so a value that fills a
-    third of a column collapses before the shuffle. ``exact=False`` makes one
-    pass with sketches for the distinct counts.
+    Counts and samples are one pass with one row per task. Exact distinct counts
+    shuffle 128-bit hashes of the cells, never their text, and a value that fills
+    a third of a column collapses before that. ``exact=False`` uses sketches.
     """
     names = [c for c in df.columns if c not in skip]
     kinds = df.sparkSession.createDataFrame(
         [(c, df.schema[c].dataType.simpleString()) for c in names], "column string, type string"
     )
     cells = df.select([_cell(df, c).alias(c) for c in names])
+    distinct = [F.lit(0) if exact else F.approx_count_distinct(f"`{c}`") for c in names]
+    found = cells.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.count(f"`{c}`").alias("non_null"),
+                    d.cast("bigint").alias("n_distinct"),
+                    F.min(f"`{c}`").alias("sample"),
+                )
+                for c, d in zip(names, distinct)
+            ]
+        ).alias("found")
+    ).select(F.inline("found"))
     if exact:
-        by_value = (
-            cells.unpivot([], [F.col(f"`{c}`") for c in names], "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        )
-        found = by_value.filter(F.col("value").isNotNull()).groupBy("column").agg(
-            F.sum("n").alias("non_null"),
-            F.count(F.lit(1)).alias("n_distinct"),
-            F.min("value").alias("sample"),
-        )
-    else:
-        found = cells.agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.count(f"`{c}`").alias("non_null"),
-                        F.approx_count_distinct(f"`{c}`").alias("n_distinct"),
-                        F.min(f"`{c}`").alias("sample"),
-                    )
-                    for c in names
-                ]
-            ).alias("found")
-        ).select(F.inline("found"))
+        hashes = cells.select([F.md5(F.col(f"`{c}`")).alias(c) for c in names])
+        values = hashes.unpivot([], [F.col(f"`{c}`") for c in names], "column", "value").where("value is not null")
+        counts = values.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+        found = found.drop("n_distinct").join(counts, "column", "left")
     return kinds.join(found, "column", "left").select(
         "column",
         "type",
         F.coalesce("non_null", F.lit(0)).cast("bigint").alias("non_null"),
         F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"),
-        F.coalesce(F.substring("sample", 1, SAMPLE_LENGTH), F.lit("N/A")).alias("sample"),
+        F.coalesce(F.substring("sample", 1, sample_length), F.lit("N/A")).alias("sample"),
     )

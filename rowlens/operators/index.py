@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rowlens.functions.text import is_blank
 from rowlens.functions.vectors import norm
 from rowlens.operators.documents import drop_blank, to_documents
 from rowlens.operators.embed import hashed_embedding
 from rowlens.operators.identity import ROW_ID, dedup_rows
 from rowlens.operators.nearest import knn
+from rowlens.operators.store import count_ids
 from rowlens.sources.tables import ParquetTable
 
 # DataFrame with ``text`` -> the same with ``embedding``; see operators.embed.
 Embedder = Callable[[DataFrame], DataFrame]
 INDEX_SCHEMA = "row_id string, text string, metadata string, embedding array<float>, norm double"
-# Up to this many ids (16 characters each) are small enough to broadcast.
-FEW_IDS = 500_000
+# Ids of at most this many bytes in all are small enough to broadcast.
+FEW_IDS_BYTES = 32 << 20
 ENTRY = ["row_id", "text", "metadata", "embedding", "norm"]
 
 
@@ -38,8 +40,11 @@ def missing_documents(documents: DataFrame, index: DataFrame, few: bool = False)
     documents the index already holds are never shuffled.
     """
     ids = missing_ids(documents, index)
-    wanted = documents.join(F.broadcast(ids) if few else ids, ROW_ID, "left_semi")
-    return dedup_rows(drop_blank(wanted)).select(*_columns(documents))
+    if few:
+        wanted = dedup_rows(drop_blank(documents.join(F.broadcast(ids), ROW_ID, "left_semi")))
+    else:  # copies collapse in the map tasks, before they meet
+        wanted = dedup_rows(drop_blank(documents)).join(ids, ROW_ID, "left_semi")
+    return wanted.select(*_columns(documents))
 
 
 def index_entries(documents: DataFrame, embedder: Embedder = hashed_embedding) -> DataFrame:
@@ -66,20 +71,24 @@ def incremental_counts(documents: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def drift(store: DataFrame, index: DataFrame) -> DataFrame:
-    """Every id with ``in_store, in_index``: one shuffle of ids, repeated ids collapse before it."""
-    sides = store.select(ROW_ID, F.lit(True).alias("s"), F.lit(False).alias("i")).unionByName(
-        index.select(ROW_ID, F.lit(False).alias("s"), F.lit(True).alias("i"))
+    """Every id with ``in_store, in_index, has_text``: one shuffle of ids, repeated ids collapse before it."""
+    text = ~is_blank(F.col("text")) if "text" in store.columns else F.lit(True)
+    sides = store.select(ROW_ID, F.lit(True).alias("s"), F.lit(False).alias("i"), text.alias("t")).unionByName(
+        index.select(ROW_ID, F.lit(False).alias("s"), F.lit(True).alias("i"), F.lit(False).alias("t"))
+    )
+    return sides.groupBy(ROW_ID).agg(
+        F.max("s").alias("in_store"), F.max("i").alias("in_index"), F.max("t").alias("has_text")
     )
-    return sides.groupBy(ROW_ID).agg(F.max("s").alias("in_store"), F.max("i").alias("in_index"))
 
 
 def sync_counts(store: DataFrame, index: DataFrame) -> DataFrame:
-    """``added, removed, total_in_store, total_in_index`` of a sync."""
+    """``added, removed, total_in_store, total_in_index`` of a sync of ``store(row_id, text)``; blanks are never added."""
+    added, removed = ~F.col("in_index") & F.col("has_text"), ~F.col("in_store")
     return drift(store, index).agg(
-        F.count_if(~F.col("in_index")).alias("added"),
-        F.count_if(~F.col("in_store")).alias("removed"),
+        F.count_if(added).alias("added"),
+        F.count_if(removed).alias("removed"),
         F.count_if("in_store").alias("total_in_store"),
-        F.count_if("in_store").alias("total_in_index"),
+        F.count_if((F.col("in_index") & ~removed) | added).alias("total_in_index"),
     )
 
 
@@ -122,13 +131,16 @@ class VectorIndex:
         return self.read().select(ROW_ID)
 
     def update(self, rows: DataFrame) -> dict[str, int]:
-        """Embed and add the rows the index lacks; ``{added, skipped}``."""
+        """Embed and add the rows the index lacks; ``{added, skipped}``, blank rows being skipped ones.
+
+        What is there already is known from its ids alone; no text of it is built.
+        """
         documents, entries = to_documents(rows), self.read()
-        total = drop_blank(documents).count()
-        missing = missing_ids(documents, entries).count()
+        total = documents.select(ROW_ID).count()
+        missing, size = count_ids(missing_ids(documents, entries))
         if not missing:
             return {"added": 0, "skipped": total}
-        fresh = missing_documents(documents, entries, few=missing <= FEW_IDS)
+        fresh = missing_documents(documents, entries, few=size <= FEW_IDS_BYTES)
         added = self.table.append(index_entries(fresh, self.embedder))
         return {"added": added, "skipped": total - added}
 

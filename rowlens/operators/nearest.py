@@ -26,17 +26,18 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rowlens.functions.text import tokens
+from rowlens.sources.scratch import kept
 
 # A side is collected and broadcast only when a count has shown that it has at
-# most this many rows and this many values (vector elements or tokens) in all.
+# most this many rows and this many bytes in all.
 BROADCAST_ROWS = 16_384
-BROADCAST_VALUES = 16_000_000
+BROADCAST_BYTES = 128 << 20
 # Up to this many hits (questions x k) carry a broadcast hint, so that fetching
 # their texts scans the index without shuffling it.
 BROADCAST_HITS = 500_000
 # Limits of one block when both sides are large.
 BLOCK_ROWS = 16_384
-BLOCK_VALUES = 16_000_000
+BLOCK_BYTES = 128 << 20
 
 _SCALE = 10**9
 _UNDEFINED = 2**31 - 1  # a zero vector is involved
@@ -46,12 +47,17 @@ _EXCLUDED = 2**31  # not a candidate at all
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = pc.list_value_length(column)
+    if len(column) and (column.null_count or pc.min_max(sizes)["min"] != pc.min_max(sizes)["max"]):
+        raise ValueError("the vectors of a search must all have the same length")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows scaled to length one, and which rows have a length."""
+    """Rows scaled to length one, and which rows have a finite length above zero."""
+    finite = np.isfinite(matrix).all(axis=1)
+    matrix = np.where(finite[:, None], matrix, 0.0)
     lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     return matrix / np.where(lengths > 0, lengths, 1.0)[:, None], lengths > 0
 
@@ -68,26 +74,40 @@ class VectorQuestions:
     def __init__(self, table: pa.Table):
         self.ids = table["query_id"].combine_chunks()
         self.unit, self.defined = _unit(_matrix(table["payload"]))
-        self.cells = table["cells"].to_pylist() if "cells" in table.column_names else None
-        self.chunks = [(lo, min(lo + self.chunk, len(self.ids))) for lo in range(0, len(self.ids), self.chunk)]
+        self.by_cell = None
+        if "cells" in table.column_names:
+            lists = table["cells"].combine_chunks()
+            owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            cells = lists.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(cells, kind="stable")
+            names, starts = np.unique(cells[order], return_index=True)
+            self.by_cell = dict(zip(names.tolist(), np.split(owner[order], starts[1:])))
 
     def load(self, batch: pa.RecordBatch):
-        cells = batch.column("cell").to_numpy(zero_copy_only=False) if self.cells else None
+        cells = batch.column("cell").to_numpy(zero_copy_only=False) if self.by_cell is not None else None
         return *_unit(_matrix(batch.column("payload"))), cells
 
-    def ranks(self, loaded, chunk: int) -> np.ndarray:
-        (unit, defined, cell_of), (lo, hi) = loaded, self.chunks[chunk]
+    def _block(self, asks: np.ndarray, unit: np.ndarray, defined: np.ndarray) -> np.ndarray:
+        if len(asks) and len(unit) and self.unit.shape[1] != unit.shape[1]:
+            raise ValueError(f"questions have {self.unit.shape[1]} elements, the index has {unit.shape[1]}")
+        undefined = ~self.defined[asks, None] | ~defined[None, :]
+        return np.where(undefined, _UNDEFINED, _ranks(self.unit[asks] @ unit.T))
+
+    def blocks(self, loaded) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(questions, rows, ranks) of all that is to be compared, in bounded pieces."""
+        unit, defined, cell_of = loaded
         if cell_of is None:
-            out = _ranks(self.unit[lo:hi] @ unit.T)
+            groups = [(np.arange(len(self.ids)), np.arange(len(unit)))]
         else:
-            out = np.full((hi - lo, len(unit)), _EXCLUDED, dtype=np.int64)
-            for cell in np.unique(cell_of):
-                rows = np.flatnonzero(cell_of == cell)
-                asks = np.array([q for q in range(lo, hi) if cell in self.cells[q]], dtype=np.int64)
-                if len(asks):
-                    out[np.ix_(asks - lo, rows)] = _ranks(self.unit[asks] @ unit[rows].T)
-        undefined = ~self.defined[lo:hi, None] | ~defined[None, :]
-        return np.where(undefined & (out != _EXCLUDED), _UNDEFINED, out)
+            order = np.argsort(cell_of, kind="stable")
+            names, starts = np.unique(cell_of[order], return_index=True)
+            rows_of = np.split(order, starts[1:])
+            none = np.zeros(0, np.int64)
+            groups = [(self.by_cell.get(n, none), rows) for n, rows in zip(names.tolist(), rows_of)]
+        for asks, rows in groups:
+            for lo in range(0, len(asks), self.chunk):
+                some = asks[lo : lo + self.chunk]
+                yield some, rows, self._block(some, unit[rows], defined[rows])
 
 
 def _token_counts(lists: pa.ListArray):
@@ -101,38 +121,61 @@ def _token_counts(lists: pa.ListArray):
 
 
 class TokenQuestions:
-    """Questions given as tokens; cosine of token counts, rows without a shared token are no hits."""
+    """Questions given as tokens; cosine of token counts, rows without a shared token are no hits.
+
+    Questions are held as posting lists, from a token to the questions with it.
+    Only tokens that a row and a question share cost anything, and they are
+    added up in pieces of bounded size.
+    """
 
     block_rows, chunk = 1_024, 64
+    additions = 2_000_000
 
     def __init__(self, table: pa.Table):
         self.ids = table["query_id"].combine_chunks()
-        lists = table["payload"].combine_chunks()
-        self.chunks, self.parts = [], []
-        for lo in range(0, len(lists), self.chunk):
-            part = lists.slice(lo, self.chunk)
-            words, row, word, count = _token_counts(part)
-            table_ = np.zeros((len(part), len(words)))
-            table_[row, word] = count
-            self.chunks.append((lo, lo + len(part)))
-            self.parts.append((words, _unit(table_)[0]))
+        self.words, question, word, count = _token_counts(table["payload"].combine_chunks())
+        lengths = np.sqrt(np.bincount(question, count**2, len(self.ids)))
+        order = np.lexsort((question, word))
+        self.question, word = question[order], word[order]
+        self.weight = (count / np.where(lengths > 0, lengths, 1.0)[question])[order]
+        self.first = np.searchsorted(word, np.arange(len(self.words) + 1))
 
     def load(self, batch: pa.RecordBatch):
         words, row, word, count = _token_counts(batch.column("payload"))
         lengths = np.sqrt(np.bincount(row, count**2, batch.num_rows))
-        return words, row, word, count, np.where(lengths > 0, lengths, 1.0)
-
-    def ranks(self, loaded, chunk: int) -> np.ndarray:
-        words, row, word, count, lengths = loaded
-        asked, unit = self.parts[chunk]
-        if not len(words) or not len(asked):
-            return np.full((len(unit), len(lengths)), _EXCLUDED, dtype=np.int64)
-        place = pc.fill_null(pc.index_in(words, asked), -1).to_numpy(zero_copy_only=False)[word]
-        hit = place >= 0
-        counts = np.zeros((len(lengths), len(asked)))
-        counts[row[hit], place[hit]] = count[hit]
-        cosine = (unit @ counts.T) / lengths
-        return np.where(cosine > 0, _ranks(cosine), _EXCLUDED)
+        place = np.zeros(0, np.int64)
+        if len(words) and len(self.words):
+            place = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False)[word].astype(np.int64)
+        hit = np.flatnonzero(place >= 0) if len(place) else np.zeros(0, np.int64)
+        share = count[hit] / np.where(lengths > 0, lengths, 1.0)[row[hit]]
+        return batch.num_rows, row[hit], place[hit] if len(place) else hit, share
+
+    def blocks(self, loaded) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        n, row, word, share = loaded
+        for lo in range(0, len(self.ids), self.chunk):
+            hi = min(lo + self.chunk, len(self.ids))
+            cosine = np.zeros((hi - lo) * n)
+            # A token's questions are sorted, so those of the chunk are one stretch.
+            begin, end = self._stretch(lo, hi)
+            some = end[word] - begin[word]
+            cuts = np.searchsorted(np.cumsum(some), np.arange(self.additions, int(some.sum()) + 1, self.additions))
+            for part in np.split(np.arange(len(some)), cuts + 1):
+                sizes = some[part]
+                total = int(sizes.sum())
+                if total:
+                    at = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin[word[part]], sizes)
+                    place = (self.question[at] - lo) * n + np.repeat(row[part], sizes)
+                    cosine += np.bincount(place, self.weight[at] * np.repeat(share[part], sizes), len(cosine))
+            cosine = cosine.reshape(hi - lo, n)
+            yield np.arange(lo, hi), np.arange(n), np.where(cosine > 0, _ranks(cosine), _EXCLUDED)
+
+    def _stretch(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where in each token's posting list the questions ``lo`` to ``hi`` stand."""
+        inside = (self.question >= lo) & (self.question < hi)
+        before = self.question < lo
+        upto = [np.concatenate([[0], np.cumsum(x)]) for x in (before, inside)]
+        begin = self.first[:-1] + upto[0][self.first[1:]] - upto[0][self.first[:-1]]
+        return begin, begin + upto[1][self.first[1:]] - upto[1][self.first[:-1]]
 
 
 def _best(found: list[pa.Table], k: int) -> pa.Table:
@@ -165,12 +208,13 @@ def _scan(questions, batches: Iterator[pa.RecordBatch], k: int, id_type: pa.Data
                 continue
             # In row_id order the position in the block breaks ties.
             batch = batch.take(pc.sort_indices(batch.column("row_id")))
-            n, loaded = batch.num_rows, questions.load(batch)
-            for chunk, (lo, _) in enumerate(questions.chunks):
-                packed = (questions.ranks(loaded, chunk) << 31) | np.arange(n)
-                if k < n:
+            for asks, rows, ranks in questions.blocks(questions.load(batch)):
+                if not ranks.size:
+                    continue
+                packed = (ranks << 31) | rows[None, :]
+                if k < packed.shape[1]:
                     packed = np.partition(packed, k - 1, axis=1)[:, :k]
-                query = np.repeat(np.arange(lo, lo + len(packed)), packed.shape[1])
+                query = np.repeat(asks, packed.shape[1])
                 packed = packed.ravel()
                 ok = (packed >> 31) < _EXCLUDED
                 rows = pa.array(packed[ok] & (2**31 - 1))
@@ -213,9 +257,10 @@ def _result_schema(queries: DataFrame, index: DataFrame) -> T.StructType:
 
 
 def _size(df: DataFrame) -> tuple[int, int]:
-    """Rows, and vector elements or tokens in all."""
-    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("payload")), F.lit(0))).first()
-    return row[0], row[1]
+    """Rows, and bytes of all vectors or tokens."""
+    element = df.schema["payload"].dataType.elementType
+    each = F.octet_length(F.concat_ws(" ", "payload")) if isinstance(element, T.StringType) else F.size("payload") * 8
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0)).cast("bigint")).first())
 
 
 def _estimated_bytes(df: DataFrame) -> int:
@@ -239,8 +284,10 @@ def _search(
     id_type = to_arrow_type(index.schema["row_id"].dataType)
 
     def fits(size: tuple[int, int]) -> bool:
-        return size[0] <= broadcast_rows and size[1] <= BROADCAST_VALUES
+        return size[0] <= broadcast_rows and size[1] <= BROADCAST_BYTES
 
+    # Whatever computes the questions, a model perhaps, runs once, here, in every plan.
+    queries = kept(queries, "questions")
     query_size = _size(queries)
     if fits(query_size):
         shared = spark.sparkContext.broadcast(_present(queries.toArrow()))
@@ -253,7 +300,7 @@ def _search(
         return F.broadcast(hits) if query_size[0] * k <= BROADCAST_HITS else hits
 
     # An index that may be small is counted; one that is large is not scanned to find out.
-    if _estimated_bytes(index) <= 4 * BROADCAST_VALUES and fits(_size(index)):
+    if _estimated_bytes(index) <= 4 * BROADCAST_BYTES and fits(_size(index)):
         shared = spark.sparkContext.broadcast(index.toArrow())
 
         def scan_questions(batches):
@@ -266,7 +313,7 @@ def _search(
         return queries.mapInArrow(scan_questions, schema)
 
     def n_blocks(size: tuple[int, int]) -> int:
-        return max(1, -(-size[0] // block_rows), -(-size[1] // BLOCK_VALUES))
+        return max(1, -(-size[0] // block_rows), -(-size[1] // BLOCK_BYTES))
 
     parts = n_blocks(_size(index)), n_blocks(query_size)
 
@@ -361,10 +408,18 @@ def mean_centroids(index: DataFrame, group: str, vector: str = "embedding") -> D
 def assign_cells(
     index: DataFrame, centroids: DataFrame, vector: str = "embedding", max_cells: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Add ``cell``, the nearest centre. Write the result partitioned by ``cell`` to read probed cells only."""
-    rows, values = _size(centroids.select(F.col("embedding").alias("payload")))
-    if rows > max_cells or values > BROADCAST_VALUES:
-        raise ValueError(f"{rows} cells of {values} values in all are too many to send to every task")
+    """Add ``cell``, the nearest centre. Write the result partitioned by ``cell`` to read probed cells only.
+
+    Centres too many to send to every task meet the rows block by block, which
+    needs ``row_id`` to bring the cells back.
+    """
+    centroids = kept(centroids.select("cell", "embedding"), "centres")
+    rows, size = _size(centroids.select(F.col("embedding").alias("payload")))
+    if rows > max_cells or size > BROADCAST_BYTES:
+        asked = index.where(F.col(vector).isNotNull()).select(F.col("row_id").alias("query_id"), F.col(vector).alias("embedding"))
+        best = knn(centroids.withColumnRenamed("cell", "row_id"), asked, 1, broadcast_rows=max_cells)
+        cells = best.select(F.col("query_id").alias("row_id"), F.col("row_id").alias("cell"))
+        return index.join(cells, "row_id", "left").select(*[F.col(f"`{c}`") for c in index.columns], "cell")
     shared = index.sparkSession.sparkContext.broadcast(
         centroids.orderBy("cell").select("cell", "embedding").toArrow()
     )
@@ -399,12 +454,21 @@ def knn_approx(
 
     ``index`` carries ``cell`` from :func:`assign_cells`. Stored partitioned by
     ``cell``, only the probed folders are read. A cell is spread over as many
-    tasks as its files need, so an overfull one is no hot spot.
+    tasks as its files need, so an overfull one is no hot spot. A question whose
+    cells hold fewer than ``k`` rows is searched exactly.
     """
-    centres = centroids.select(F.col("cell").alias("row_id"), F.col("embedding"))
-    nearest = knn(centres, queries.withColumnRenamed(vector, "embedding"), n_probe)
+    queries = kept(queries.select("query_id", F.col(vector).alias("embedding")), "questions")
+    centres = kept(centroids.select(F.col("cell").alias("row_id"), F.col("embedding")), "centres")
+    nearest = kept(knn(centres, queries, n_probe), "probes")
     probes = nearest.groupBy("query_id").agg(F.collect_set("row_id").alias("cells"))
-    asked = queries.select("query_id", F.col(vector).alias("payload")).join(probes, "query_id")
+    asked = queries.select("query_id", F.col("embedding").alias("payload")).join(probes, "query_id")
     probed = nearest.select(F.col("row_id").alias("cell")).distinct()
     rows = index.join(probed, "cell", "left_semi").select("row_id", F.col(vector).alias("payload"), "cell")
-    return _search(rows, asked, k, VectorQuestions, broadcast_rows, block_rows)
+    hits = kept(_search(rows, asked, k, VectorQuestions, broadcast_rows, block_rows), "hits")
+    full = hits.where(F.col("rank") == k).select("query_id")
+    short = kept(queries.where("embedding is not null").join(full, "query_id", "left_anti"), "short")
+    if short.isEmpty():
+        return hits
+    # Their cells hold fewer than k rows: these questions look everywhere.
+    rest = knn(index.select("row_id", F.col(vector).alias("embedding")), short, k, "embedding", broadcast_rows, block_rows)
+    return hits.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)

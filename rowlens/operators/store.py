@@ -9,11 +9,12 @@ from rowlens.functions.text import is_blank, strip
 from rowlens.operators.identity import ROW_ID, add_row_ids, dedup_rows
 from rowlens.sources.tables import ParquetTable
 
-# Batches up to this many rows are small enough to broadcast their ids
-# (16 characters each), so the store is scanned without being shuffled.
-SMALL_BATCH = 500_000
+# Batches whose ids have at most this many bytes in all are small enough to
+# broadcast them, so the store is scanned without being shuffled.
+SMALL_BATCH_BYTES = 32 << 20
 
 _YEAR_OR_BLANK = r"^(\+?0*(19[0-9]{2}|20[0-9]{2}|2100))?$"
+YEARS = (1900, 2100)
 
 
 def _columns(df: DataFrame) -> list[Column]:
@@ -25,6 +26,12 @@ def _identified(rows: DataFrame) -> DataFrame:
     return rows if ROW_ID in rows.columns else add_row_ids(rows)
 
 
+def count_ids(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their ids."""
+    size = F.coalesce(F.sum(F.octet_length(F.col(ROW_ID).cast("string")) + 16), F.lit(0))
+    return tuple(rows.agg(F.count(F.lit(1)), size).first())
+
+
 def new_rows(store: DataFrame, batch: DataFrame, small_batch: bool = False) -> DataFrame:
     """Rows of ``batch`` whose id the store lacks, one per id.
 
@@ -86,7 +93,12 @@ def coerce_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     valid, typed = F.lit(True), []
     for name in entries.columns:
         c = F.col(f"`{name}`")
-        if "year" in name.lower() and "date" not in name.lower():
+        is_year = "year" in name.lower() and "date" not in name.lower()
+        if is_year and isinstance(entries.schema[name].dataType, T.NumericType):
+            fits = c.between(*YEARS) & (c == F.floor(c))
+            valid = valid & F.coalesce(fits, F.lit(True))
+            typed.append(F.when(fits, c).cast("int").alias(name))
+        elif is_year:
             text = strip(c.cast("string"))
             # A pattern, not a failing cast per row: those are slow.
             valid = valid & F.coalesce(text.rlike(_YEAR_OR_BLANK), F.lit(True))
@@ -110,17 +122,18 @@ class RowStore:
     def save(self, batch: DataFrame) -> dict[str, int]:
         """Append the rows of ``batch`` that are new; ``{added, skipped}``."""
         batch = add_row_ids(batch)
-        stored, total = self.load(), batch.count()
+        stored, (total, size) = self.load(), count_ids(batch)
         if stored is None:
             added = self.table.replace(dedup_rows(batch))
         else:
-            added = self.table.append(new_rows(stored, batch, small_batch=total <= SMALL_BATCH))
+            added = self.table.append(new_rows(stored, batch, small_batch=size <= SMALL_BATCH_BYTES))
         return {"added": added, "skipped": total - added}
 
-    def append(self, rows: DataFrame) -> dict[str, int]:
-        """As :meth:`save`, for rows with raw headers or missing columns."""
+    def append(self, rows: DataFrame) -> dict:
+        """As :meth:`save`, for rows with raw headers or missing columns; ``ids`` are those of the rows given."""
         stored = self.load()
-        return self.save(clean_columns(rows) if stored is None else pad_to_store(stored, rows))
+        rows = add_row_ids(clean_columns(rows) if stored is None else pad_to_store(stored, rows))
+        return {**self.save(rows), "ids": rows.select(ROW_ID)}
 
     def delete(self, ids: DataFrame) -> int:
         return self.table.remove(ids)

@@ -27,7 +27,7 @@ def row_id(columns: dict[str, tuple[str, str]], type_text: str = "''") -> str:
         (_text_member if kind == "t" else _plain_member)(name, x) for name, (x, kind) in sorted(columns.items())
     ]
     body = " || ', ' || ".join(members)
-    return f"substr(sha256('{{' || {body} || '}}|' || {type_text}), 1, 16)"
+    return f"sha256('{{' || {body} || '}}|' || {type_text})"
 
 
 def _parts(columns: list[tuple[str, str]]) -> str:
@@ -90,7 +90,7 @@ _YEAR = "TRY_CAST(trim(order_year) AS INTEGER)"
 _YEAR_OK = f"(trim(order_year) = '' OR coalesce({_YEAR} BETWEEN 1900 AND 2100, false))"
 
 LABELLED = "SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
-INDEX_STORE = f"SELECT doc_id::VARCHAR AS row_id, text FROM ({LABELLED})"
+INDEX_STORE = f"SELECT doc_id::VARCHAR AS row_id, text, lang FROM ({LABELLED})"
 INDEX_IDS = "SELECT vec_id::VARCHAR AS row_id, label FROM embeddings"
 
 
@@ -328,10 +328,12 @@ ORACLES: dict[str, str] = {
         SELECT count(*) FILTER (row_id NOT IN (SELECT row_id FROM i)) AS added,
                count(*) FILTER (row_id IN (SELECT row_id FROM i)) AS skipped FROM s WHERE {_strip('text')} <> ''""",
     "index_rebuild": _entries("SELECT doc_id::VARCHAR AS row_id, text FROM documents WHERE lang <> 'de'"),
-    "index_sync": f"""WITH s AS (SELECT DISTINCT row_id FROM ({INDEX_STORE})), i AS ({INDEX_IDS})
-        SELECT (SELECT count(*) FROM (SELECT row_id FROM s EXCEPT SELECT row_id FROM i)) AS added,
-               (SELECT count(*) FROM (SELECT row_id FROM i EXCEPT SELECT row_id FROM s)) AS removed,
-               (SELECT count(*) FROM s) AS total_in_store, (SELECT count(*) FROM s) AS total_in_index""",
+    "index_sync": f"""WITH s AS (SELECT row_id, max(lang <> 'de') AS texted FROM ({INDEX_STORE}) GROUP BY row_id),
+        i AS (SELECT DISTINCT row_id FROM ({INDEX_IDS})),
+        after AS (SELECT row_id FROM i WHERE row_id IN (SELECT row_id FROM s) UNION SELECT row_id FROM s WHERE texted)
+        SELECT (SELECT count(*) FROM after WHERE row_id NOT IN (SELECT row_id FROM i)) AS added,
+               (SELECT count(*) FROM i WHERE row_id NOT IN (SELECT row_id FROM after)) AS removed,
+               (SELECT count(*) FROM s) AS total_in_store, (SELECT count(*) FROM after) AS total_in_index""",
     "index_delete": f"""SELECT * FROM ({INDEX_IDS}) WHERE row_id IN (SELECT row_id FROM ({INDEX_STORE}))""",
     "index_search": INDEX_SEARCH,
     "context_build": CONTEXT_BUILD,
@@ -344,3 +346,29 @@ ORACLES: dict[str, str] = {
         WHERE u.role = 'user' AND a.role = 'assistant') ORDER BY conv_id DESC, turn DESC LIMIT 10""",
 }
 ORACLES["stream_upsert"] = ORACLES["row_dedup"]
+_ORDER_ID = row_id({"o_orderkey": ("o_orderkey", "n"), "seen": ("strftime(seen, '%Y-%m-%d %H:%M:%S')", "n")})
+_REPLY = """CASE WHEN query_id % 3 = 0 THEN 'Error generating answer: ValueError: refused'
+                 ELSE length(text)::VARCHAR END"""
+ORACLES |= {
+    "row_id_timestamp": f"""SELECT o_orderkey, {_ORDER_ID} AS row_id
+        FROM (SELECT o_orderkey, make_timestamp(o_orderkey * 1000000000) AS seen FROM orders)""",
+    # Saved twice, labelled documents removed, customers-by-code added: what is left is a set of rows.
+    "store_life": """SELECT doc_id, lang FROM documents WHERE lang <> 'de'
+        UNION ALL SELECT doc_id, 'xx' AS lang FROM labels WHERE toxic = 1""",
+    "original_sheets": """SELECT 'customer' AS source_sheet, count(*) AS rows FROM customer
+        UNION ALL SELECT 'part', count(*) FROM part""",
+    "sheet_folder": """SELECT doc_id::VARCHAR AS key, lang AS title, NULL AS author, 'documents' AS source_sheet FROM documents
+        UNION ALL SELECT item_id::VARCHAR, NULL, length(text)::VARCHAR, 'benchmark' FROM benchmark""",
+    "search_none": "SELECT * FROM nation",
+    "find_row": f"""WITH rows AS ({CUSTOMERS}) SELECT * FROM rows WHERE row_id = (SELECT max(row_id) FROM rows)""",
+    "index_clear": "SELECT row_id FROM (SELECT '' AS row_id) WHERE false",
+    "index_empty": """SELECT item_id AS query_id,
+        'I don''t know based on the uploaded data. No relevant information was found in the dataset.' AS answer FROM benchmark""",
+    "index_stats": "SELECT 'documents' AS name, count(*) AS document_count FROM documents",
+    "index_stored_sync": "SELECT doc_id::VARCHAR AS row_id FROM documents WHERE lang NOT IN ('de', 'es')",
+    "history_log": """SELECT item_id::VARCHAR AS question, length(text)::VARCHAR AS answer FROM benchmark
+        UNION ALL SELECT item_id::VARCHAR, length(text)::VARCHAR FROM benchmark""",
+    "answer_model": f"""SELECT item_id AS query_id, {_REPLY.replace("query_id", "item_id")} AS answer,
+        CASE WHEN item_id % 3 = 0 THEN 'ValueError: refused' END AS error FROM benchmark""",
+    "complete_prompts": """SELECT conv_id, turn, 'be brief: ' || upper(role) AS reply FROM conversations""",
+}

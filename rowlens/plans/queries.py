@@ -6,18 +6,17 @@ arithmetic carry nine decimals.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowlens.operators import answer as answers, explore, index, nearest, store
 from rowlens.operators.documents import row_metadata, row_text, to_documents
-from rowlens.operators.embed import embed, hashed_embedding
+from rowlens.operators.embed import complete, embed, hashed_embedding
 from rowlens.operators.identity import add_row_ids, dedup_rows
-from rowlens.sources.sheets import ingest, merge_sheets
+from rowlens.sources.sheets import ingest, merge_sheets, read_sheet_folder, read_sheets, write_original_sheets
 from rowlens.functions.names import clean_columns
+from rowlens.sources.scratch import kept, scratch_folder
 from rowlens.streaming.upserts import upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,11 +218,12 @@ def knn_batch(spark, folder):
 
 
 def knn_approx(spark, folder):
+    """Over a stored index of which only the probed cells are read."""
     rows = vectors(spark, folder)
-    centres = nearest.mean_centroids(rows, "label")
-    return nearest.knn_approx(
-        nearest.assign_cells(rows, centres), vector_questions(spark, folder), centres, TOP_K, PROBES
-    )
+    centres = kept(nearest.mean_centroids(rows, "label"), "centres")
+    path = scratch_folder(spark, "cells")
+    nearest.assign_cells(rows, centres).write.partitionBy("cell").parquet(path)
+    return nearest.knn_approx(spark.read.parquet(path), vector_questions(spark, folder), centres, TOP_K, PROBES)
 
 
 def text_documents(spark, folder):
@@ -264,6 +264,10 @@ def index_store(spark, folder):
     return docs.select(F.col("doc_id").cast("string").alias("row_id"), "text", "lang")
 
 
+def blank_some(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", F.when(F.col("lang") != "de", F.col("text")).otherwise(" \t"))
+
+
 def index_ids(spark, folder):
     return table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("row_id"), "label")
 
@@ -296,7 +300,7 @@ def index_rebuild(spark, folder):
 
 
 def index_sync(spark, folder):
-    return index.sync_counts(index_store(spark, folder), index_ids(spark, folder))
+    return index.sync_counts(blank_some(index_store(spark, folder)), index_ids(spark, folder))
 
 
 def index_delete(spark, folder):
@@ -379,13 +383,6 @@ def query_history(spark, folder):
 # -- stream ------------------------------------------------------------------
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint directory of the cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="rowlens-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_upsert(spark, folder):
     """The documents read as a stream, upserted batch by batch; read back from the store."""
     where = scratch_folder(spark, "stream")
@@ -397,6 +394,143 @@ def stream_upsert(spark, folder):
     return target.load()
 
 
+# -- stored forms ------------------------------------------------------------
+
+
+def row_ids_timestamp(spark, folder):
+    orders = table(spark, folder, "orders")
+    return add_row_ids(orders.select("o_orderkey", F.timestamp_seconds(F.col("o_orderkey") * 1000).alias("seen"))).select(
+        "o_orderkey", "row_id"
+    )
+
+
+def store_life(spark, folder):
+    """Save, save again, append with raw headers, delete, load."""
+    target = store.RowStore(spark, scratch_folder(spark, "store"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang")
+    target.save(docs.where("doc_id % 2 = 0"))
+    target.save(docs)
+    toxic = table(spark, folder, "labels").where("toxic = 1").select(F.col("doc_id").alias(" Doc ID "), F.lit("xx").alias("LANG"))
+    target.append(toxic)
+    target.delete(target.load().where("lang = 'de'").select("row_id"))
+    return target.load().select("doc_id", "lang")
+
+
+def original_sheets(spark, folder):
+    """Sheets kept as read; one called All is not."""
+    raw = raw_sheets(spark, folder, "customer", "part")
+    path = scratch_folder(spark, "sheets")
+    write_original_sheets({**raw, "All": raw["part"]}, path)
+    sheets = read_sheets(spark, {name: f"{path}/source_sheet={name}" for name in raw})
+    return explore.sheet_counts(merge_sheets(sheets))
+
+
+def sheet_folder(spark, folder):
+    """CSV files whose headers differ in names and in order."""
+    path = scratch_folder(spark, "csv")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("Key"), F.col("lang").alias("Title"))
+    items = table(spark, folder, "benchmark").select(F.length("text").alias("Author Name"), F.col("item_id").alias(" KEY"))
+    for name, df in (("documents", docs), ("benchmark", items)):
+        df.write.option("header", True).csv(f"{path}/{name}")
+    rows = read_sheet_folder(spark, f"{path}/*", "csv", header=True, ignoreLeadingWhiteSpace=True)
+    # Spark names the files it writes; which of the two sheets a row is from shows in its columns.
+    sheet = F.when(F.col("title").isNotNull(), "documents").otherwise("benchmark")
+    return rows.select("key", "title", "author", sheet.alias("source_sheet"))
+
+
+def search_none(spark, folder):
+    return explore.search(table(spark, folder, "nation"), "")
+
+
+def find_row(spark, folder):
+    rows = customers(spark, folder)
+    return store.find_row(rows, rows.agg(F.max("row_id")).first()[0])
+
+
+def stored_index(spark, folder, rows: DataFrame) -> index.VectorIndex:
+    stored = index.VectorIndex(spark, scratch_folder(spark, "index"), name="documents")
+    stored.update(rows)
+    return stored
+
+
+def document_rows(spark, folder):
+    return table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("row_id"), "text", "lang")
+
+
+def index_clear(spark, folder):
+    stored = stored_index(spark, folder, document_rows(spark, folder))
+    stored.clear()
+    return stored.read().select("row_id")
+
+
+def index_empty(spark, folder):
+    """An index without entries answers every question with the fixed reply."""
+    stored = stored_index(spark, folder, document_rows(spark, folder).limit(0))
+    stored.clear()
+    return answers.ask(stored, questions(spark, folder), TOP_K).select("query_id", "answer")
+
+
+def index_stats(spark, folder):
+    stats = stored_index(spark, folder, document_rows(spark, folder)).stats()
+    return spark.createDataFrame([(stats["name"], stats["document_count"])], "name string, document_count long")
+
+
+def index_stored_sync(spark, folder):
+    """Entries of rows that are gone leave, blank ones never enter, a second sync changes nothing."""
+    rows = document_rows(spark, folder)
+    stored = stored_index(spark, folder, rows.where("lang IN ('es', 'en')"))
+    # Text and language are blank for one language, so that its documents are.
+    wanted = rows.where("lang <> 'es'").select(
+        "row_id", *[F.when(F.col("lang") != "de", F.col(c)).otherwise(" ").alias(c) for c in ("text", "lang")]
+    )
+    stored.sync(wanted)
+    again = stored.sync(wanted)
+    if again["added"] or again["removed"]:
+        raise AssertionError(f"a second sync changed the index: {again}")
+    return stored.ids()
+
+
+def history_log(spark, folder):
+    asked = table(spark, folder, "benchmark").select(
+        F.col("item_id").cast("string").alias("question"), F.length("text").cast("string").alias("answer")
+    )
+    path = scratch_folder(spark, "history")
+    answers.log_answers(asked, path)
+    answers.log_answers(asked, path)
+    return answers.read_history(spark, path).select("question", "answer")
+
+
+def make_counter():
+    """A stand-in chat model: the length of the question; it refuses every third."""
+
+    def fn(prompts, system):
+        out = []
+        for p in prompts:
+            number, _, text = p.split("\n\nQuestion: ")[1].rsplit("\n\n", 1)[0].partition(":")
+            if int(number) % 3 == 0:
+                raise ValueError("refused")
+            out.append(str(len(text)))
+        return out
+
+    return fn
+
+
+def answer_model(spark, folder):
+    """A model that fails on some questions answers the others."""
+    asked = questions(spark, folder).select("query_id", F.concat_ws(":", F.col("query_id").cast("string"), "text").alias("text"))
+    hits = asked.select("query_id", F.lit(1).alias("rank"), F.lit("r").alias("row_id"), F.lit("hit").alias("text"), F.lit(0.5).alias("distance"))
+    return answers.answer(asked, hits, make_counter).select("query_id", "answer", "error")
+
+
+def make_shouter():
+    return lambda prompts, system: [f"{system}: {p.upper()}" for p in prompts]
+
+
+def complete_prompts(spark, folder):
+    turns = table(spark, folder, "conversations")
+    return complete(turns, make_shouter, "role", "reply", "be brief").select("conv_id", "turn", "reply")
+
+
 QUERIES: dict[str, Query] = {
     "sheets_union": sheets_union,
     "sheet_counts": sheet_counts,
@@ -438,4 +572,17 @@ QUERIES: dict[str, Query] = {
     "source_list": source_list,
     "query_history": query_history,
     "stream_upsert": stream_upsert,
+    "row_id_timestamp": row_ids_timestamp,
+    "store_life": store_life,
+    "original_sheets": original_sheets,
+    "sheet_folder": sheet_folder,
+    "search_none": search_none,
+    "find_row": find_row,
+    "index_clear": index_clear,
+    "index_empty": index_empty,
+    "index_stats": index_stats,
+    "index_stored_sync": index_stored_sync,
+    "history_log": history_log,
+    "answer_model": answer_model,
+    "complete_prompts": complete_prompts,
 }

@@ -27,6 +27,28 @@ def read_sheets(
     }
 
 
+def _csv_headers(spark: SparkSession, folder: str, options: Mapping) -> list[list[str]]:
+    """The files of a folder of CSV, grouped by their header line: one short row per file is collected."""
+    lines = spark.read.format("text").options(**{k: v for k, v in options.items() if k in ("pathGlobFilter", "encoding", "lineSep")})
+    first = lines.load(folder).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value")
+    )
+    # Only the block at the start of a file holds its header; a task stops at the first line of it.
+    heads = first.where("at = 0").mapInPandas(_first_lines, "file string, value string")
+    groups: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        groups.setdefault(row["value"].rstrip("\r\ufeff").lstrip("\ufeff"), []).append(row["file"])
+    return list(groups.values())
+
+
+def _first_lines(batches):
+    seen = set()
+    for rows in batches:
+        new = rows[~rows["file"].isin(seen)].drop_duplicates("file")
+        seen.update(new["file"])
+        yield new[["file", "value"]]
+
+
 def read_sheet_folder(
     spark: SparkSession,
     folder: str,
@@ -34,13 +56,24 @@ def read_sheet_folder(
     aliases: Mapping[str, str] = COLUMN_ALIASES,
     **options,
 ) -> DataFrame:
-    """A folder of files of any number as one scan; the file name is the sheet name."""
+    """A folder of files of any number; the file name is the sheet name.
+
+    Parquet and JSON carry their column names and are one scan. CSV files do not:
+    those with one header are one scan, and the scans are unioned by name.
+    """
     if fmt == "parquet":
         options = {"mergeSchema": True, **options}
-    raw = spark.read.format(fmt).options(**options).load(folder)
-    sheet = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    columns = [c for c in raw.columns if clean_name(c, aliases) != SOURCE_SHEET]
-    return clean_columns(raw.select(*[F.col(f"`{c}`") for c in columns], sheet.alias(SOURCE_SHEET)), aliases)
+    groups = [[folder]]
+    if fmt == "csv" and str(options.get("header", "false")).lower() == "true":
+        groups = _csv_headers(spark, folder, options) or groups
+    frames = []
+    for paths in groups:
+        raw = spark.read.format(fmt).options(**options).load(paths)
+        sheet = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+        columns = [c for c in raw.columns if clean_name(c, aliases) != SOURCE_SHEET]
+        named = raw.select(*[F.col(f"`{c}`") for c in columns], sheet.alias(SOURCE_SHEET))
+        frames.append(clean_columns(named, aliases))
+    return union_rows(frames)
 
 
 def merge_sheets(sheets: Mapping[str, DataFrame], spark: SparkSession | None = None) -> DataFrame:

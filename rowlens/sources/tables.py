@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowlens.functions.names import align_types
+from rowlens.functions.names import align_types, union_rows
 
 _BATCH = "batch"
+# Written into a batch once all its files are there. Spark reads no file that begins with an underscore.
+COMMITTED = "_committed"
 
 
 class ParquetTable:
@@ -24,27 +26,37 @@ class ParquetTable:
 
     # -- folders ---------------------------------------------------------
 
-    def _numbers(self, folder: str, prefix: str) -> list[int]:
-        """Numbers of the finished sub-folders (those with a ``_SUCCESS`` file)."""
+    def _files(self, folder: str):
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return []
-        numbers = []
-        for status in fs.listStatus(at):
-            name = status.getPath().getName()
-            if name.startswith(prefix):
-                done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-                if prefix == "snapshot=":
-                    done = jvm.org.apache.hadoop.fs.Path(status.getPath(), f"rows/{_BATCH}=0/_SUCCESS")
-                if fs.exists(done):
-                    numbers.append(int(name[len(prefix):]))
-        return sorted(numbers)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at, jvm.org.apache.hadoop.fs.Path
+
+    def _names(self, folder: str) -> list[str]:
+        fs, at, _ = self._files(folder)
+        return [status.getPath().getName() for status in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _committed(self, folder: str) -> bool:
+        fs, at, path = self._files(folder)
+        return fs.exists(path(at, COMMITTED))
+
+    def _commit(self, folder: str) -> None:
+        fs, at, path = self._files(folder)
+        fs.create(path(at, COMMITTED), True).close()
+
+    def _numbers(self, folder: str, prefix: str, inside: str = "") -> list[int]:
+        """Numbers of the finished sub-folders: those with our own commit marker."""
+        found = [name for name in self._names(folder) if name.startswith(prefix)]
+        return sorted(int(n[len(prefix):]) for n in found if self._committed(f"{folder}/{n}{inside}"))
 
     def _snapshot(self) -> int | None:
-        numbers = self._numbers(self.path, "snapshot=")
-        return numbers[-1] if numbers else None
+        first = f"/rows/{_BATCH}=0"
+        numbers = self._numbers(self.path, "snapshot=", first)
+        if numbers:
+            return numbers[-1]
+        for name in self._names(self.path):
+            if name.startswith("snapshot=") and any("part-" in f for f in self._names(f"{self.path}/{name}{first}")):
+                raise ValueError(f"{self.path}/{name} holds data but was never finished; look at it and remove it")
+        return None
 
     def _folder(self, snapshot: int, part: str) -> str:
         return f"{self.path}/snapshot={snapshot}/{part}"
@@ -91,21 +103,26 @@ class ParquetTable:
         folder = f"{self._folder(snapshot, part)}/{_BATCH}={batch}"
         # Bloom filters let a lookup by id skip row groups.
         df.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(folder)
+        self._commit(folder)
         # Counted from the written footers, so retried tasks cannot count twice.
         return self.spark.read.schema(df.schema).parquet(folder).count()
 
     def append(self, df: DataFrame) -> int:
-        """Add rows; columns new to the table are null in older rows."""
+        """Add rows; columns new to the table are null in older rows.
+
+        Where a column's type changed so that the stored one cannot hold it, the
+        union is written as the next snapshot.
+        """
         snapshot = self._snapshot()
         if snapshot is None:
             return self.replace(df)
         stored = self._load(snapshot, "rows").drop(_BATCH)
         kinds = dict(stored.dtypes)
-        df = align_types([stored, df])[1]
-        clash = [n for n, k in df.dtypes if n in kinds and kinds[n] not in (k, "void")]
-        if clash:
-            raise ValueError(f"columns {clash} hold another type than the stored ones; use replace()")
-        return self._write(df, snapshot, "rows", self._next_batch(snapshot))
+        aligned = align_types([stored, df])[1]
+        if all(kinds.get(n, k) in (k, "void") for n, k in aligned.dtypes):
+            return self._write(aligned, snapshot, "rows", self._next_batch(snapshot))
+        live = self.read()
+        return self._write(union_rows([live, df]), snapshot + 1, "rows", 0) - live.count()
 
     def remove(self, ids: DataFrame) -> int:
         """Hide the live rows with these keys; returns how many keys were there."""

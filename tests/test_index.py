@@ -70,7 +70,7 @@ def test_missing_documents_come_before_the_model(spark):
     assert [r.row_id for r in missing_documents(docs, index).collect()] == ["b"]
     assert tuple(incremental_counts(docs, index).first()) == (1, 2)
     assert [r.row_id for r in orphans(docs, index).collect()] == ["z"]
-    assert tuple(sync_counts(docs, index).first()) == (2, 1, 3, 3)
+    assert tuple(sync_counts(docs, index).first()) == (1, 1, 3, 2), "the blank one is in the store and never in the index"
     assert [r.row_id for r in missing_documents(docs, index, few=True).collect()] == ["b"]
     plan = plan_of(measured(missing_documents(docs, index)))
     assert plan.index("ArrowEvalPython") < plan.index("LeftAnti"), "the model sits above the join"
@@ -133,6 +133,24 @@ def test_search_returns_payload(spark, tmp_path):
     assert "fox" in other.first().text
 
 
+def test_a_failing_item_does_not_end_the_job(spark):
+    def model():
+        def fn(texts, system=None):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[float(len(t)), 0.0] for t in texts] if system is None else [t.upper() for t in texts]
+
+        return fn
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "ccc"), (4, " ")], "i int, text string").coalesce(1)
+    out = {r.i: (r.embedding, r.error) for r in embed(df, model, 2, error="error").collect()}
+    assert out == {1: ([1.0, 0.0], None), 2: (None, "RuntimeError: no"), 3: ([3.0, 0.0], None), 4: ([0.0, 0.0], None)}
+    with pytest.raises(Exception, match="no"):
+        embed(df, model, 2).collect()
+    said = {r.i: (r.answer, r.error) for r in complete(df, model, "text", system_prompt="s", error="error").collect()}
+    assert said[2] == (None, "RuntimeError: no") and said[3] == ("CCC", None)
+
+
 def test_complete(spark):
     def shout():
         return lambda prompts, system: [f"{system}:{p.upper()}" for p in prompts]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from rowlens.functions.vectors import cosine_distance, norm, zero_vector
 from rowlens.operators import nearest
+from rowlens.operators.embed import embed
 from rowlens.operators.nearest import (
     assign_cells, knn, knn_approx, lexical_topk, mean_centroids, train_centroids,
 )
@@ -107,7 +108,7 @@ def test_distances_do_not_decrease_and_plan_has_no_cross_join(spark, sf):
 
 
 def test_broadcast_is_refused_by_values_too(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "BROADCAST_VALUES", 3)
+    monkeypatch.setattr(nearest, "BROADCAST_BYTES", 3)
     ix, qs = frames(spark, [("a", [1.0, 0.0]), ("b", [0.0, 1.0])], [(1, [1.0, 0.1]), (2, [0.0, 1.0])])
     hits = knn(ix, qs, 1)
     assert "FlatMapCoGroupsInArrow" in plan_of(hits)
@@ -168,6 +169,56 @@ def test_probes_prune_stored_cells(spark, tmp_path):
     centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cell int, embedding array<double>")
     assign_cells(ix, centres).write.partitionBy("cell").parquet(str(tmp_path / "ix"))
     stored = spark.read.parquet(str(tmp_path / "ix"))
-    hits = knn_approx(stored, qs, centres, 3, n_probe=1)
-    assert [r[2] for r in result(hits)] == ["a", "c"]
-    assert "dynamicpruning" in plan_of(hits)
+    for file in (tmp_path / "ix" / "cell=1").glob("part-*"):
+        file.write_bytes(b"not read")
+    assert [r[2] for r in result(knn_approx(stored, qs, centres, 2, n_probe=1))] == ["a", "c"]
+
+
+def test_probed_cells_with_too_few_rows(spark):
+    ix, qs = frames(spark, [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.9, 0.1])], [(1, [1.0, 0.05]), (2, [0.0, 1.0])])
+    centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cell int, embedding array<double>")
+    hits = knn_approx(assign_cells(ix, centres), qs, centres, 3, n_probe=1)
+    assert [r[2] for r in result(hits)] == ["a", "c", "b", "b", "c", "a"]
+
+
+def test_many_cells_are_assigned_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    ix = spark.createDataFrame([(f"r{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(40, 4)))], "row_id string, embedding array<float>")
+    centres = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(9, 4)))], "cell int, embedding array<double>")
+    few = {r.row_id: r.cell for r in assign_cells(ix, centres).collect()}
+    assert {r.row_id: r.cell for r in assign_cells(ix, centres, max_cells=2).collect()} == few
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_ragged_vectors_are_refused_and_infinite_ones_rank_last(spark, strategy):
+    ix, qs = frames(spark, [("a", [1.0, 2.0, 3.0]), ("b", [1.0] * 5)], [(1, [1.0, 0.0, 0.0, 0.0])])
+    with pytest.raises(Exception, match="same length|elements"):
+        knn(ix.coalesce(1), qs, 2, **STRATEGIES[strategy]).collect()
+    ix, qs = frames(spark, [("a", [float("inf"), 1.0]), ("b", [0.0, 1.0]), ("c", [float("nan"), 0.0])], [(1, [1.0, 0.0])])
+    assert result(knn(ix, qs, 3, **STRATEGIES[strategy])) == [(1, 1, "b", 1.0), (1, 2, "a", None), (1, 3, "c", None)]
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_a_model_sees_each_question_once(spark, strategy):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model():
+        def fn(texts):
+            calls.add(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return fn
+
+    ix, _ = frames(spark, [(f"r{i}", [float(i), 1.0]) for i in range(30)], [(1, [1.0, 1.0])])
+    asked = embed(spark.createDataFrame([(i, "x" * i) for i in range(1, 11)], "query_id bigint, text string"), model, 2)
+    hits = knn(ix, asked, 1, **STRATEGIES[strategy])
+    assert hits.count() == 10 and calls.value == 10
+
+
+def test_token_sums_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(nearest.TokenQuestions, "additions", 3)
+    monkeypatch.setattr(nearest.TokenQuestions, "chunk", 2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % (i + 2)}" for j in range(12))) for i in range(8)], "row_id bigint, text string")
+    asked = docs.select(F.col("row_id").alias("query_id"), "text")
+    hits = lexical_topk(docs, asked, 1).collect()
+    assert {r.query_id: (r.row_id, r.distance) for r in hits} == {i: (i, 0.0) for i in range(8)}

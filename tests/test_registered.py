@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import EXTRA, entry, oracle_sql, queries
 from check import canonical
 
 
@@ -17,7 +17,8 @@ def con(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+# Queries without SQL are held against brute force where their operator is tested.
+@pytest.mark.parametrize("name", sorted(n for n in queries() if n in oracle_sql() and n not in EXTRA))
 def test_query_equals_sql(spark, con, sf, name):
     df = queries()[name](spark, sf)
     cursor = con.execute(oracle_sql()[name])

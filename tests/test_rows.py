@@ -33,7 +33,7 @@ def expected_id(row, names, type_text):
     text = json.dumps(cells, sort_keys=True, ensure_ascii=False)
     suffix = "" if "pub_type" not in cells else str(cells["pub_type"])
     assert suffix == type_text
-    return hashlib.sha256(f"{text}|{suffix}".encode()).hexdigest()[:16]
+    return hashlib.sha256(f"{text}|{suffix}".encode()).hexdigest()
 
 
 def test_row_ids(spark):
@@ -48,7 +48,37 @@ def test_row_ids(spark):
 def test_golden_id(spark):
     df = spark.createDataFrame([("a", 1)], "b string, a int")
     text = '{"a": "1", "b": "a"}|'
-    assert add_row_ids(df).first().row_id == hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert add_row_ids(df).first().row_id == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_ids_do_not_depend_on_the_zone_of_the_session(spark):
+    found = set()
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            df = spark.sql("SELECT timestamp_micros(1699161234567890 + 3600000000 * id) AS t FROM range(48)")
+            found.add(tuple(r.row_id for r in add_row_ids(df).collect()))
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(found) == 1 and len(set(*found)) == 48
+    df = spark.sql("SELECT timestamp_micros(-1234567) AS t")
+    text = '{"t": "1969-12-31 23:59:58.765433"}|'
+    assert add_row_ids(df).first().row_id == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_ids_leave_columns_of_any_name_alone(spark):
+    df = spark.createDataFrame([("a", "b", "c", "d", "e")], "_json string, _text0 string, id_json string, ID_TEXT1 string, id_text string")
+    row = add_row_ids(df).first()
+    assert tuple(row)[:5] == ("a", "b", "c", "d", "e")
+
+
+def test_neighbouring_numbers_stay_apart(spark):
+    a = spark.createDataFrame([(2**53,), (2**53 + 1,)], "n bigint")
+    b = spark.createDataFrame([(0.5,)], "n double")
+    merged = merge_sheets({"a": a, "b": b})
+    assert {r.n for r in merged.collect()} == {"9007199254740992", "9007199254740993", "0.5"}
+    wide = merge_sheets({"a": spark.sql("SELECT 1.5BD AS n"), "b": spark.sql("SELECT 123456.789BD AS n")})
+    assert wide.schema["n"].dataType.simpleString() == "decimal(9,3)"
 
 
 def test_ids_ignore_column_order_and_row_id(spark):
@@ -62,8 +92,8 @@ def test_ids_ignore_column_order_and_row_id(spark):
 def test_existing_ids_are_kept_and_length_is_a_parameter(spark):
     df = spark.createDataFrame([("mine", "x"), (None, "y")], "row_id string, a string")
     ids = [r.row_id for r in add_row_ids(df).collect()]
-    assert ids[0] == "mine" and len(ids[1]) == 16
-    assert len(add_row_ids(df.drop("row_id"), length=32).first().row_id) == 32
+    assert ids[0] == "mine" and len(ids[1]) == 64
+    assert len(add_row_ids(df.drop("row_id"), length=16).first().row_id) == 16
 
 
 def test_dedup_keeps_the_first_and_collapses_before_the_shuffle(spark):
@@ -71,7 +101,7 @@ def test_dedup_keeps_the_first_and_collapses_before_the_shuffle(spark):
     assert {tuple(r) for r in dedup_rows(df).collect()} == {("k", 1, "a"), ("m", 2, "b")}
     assert [r.t for r in dedup_rows(df, order_by=["t"]).orderBy("t").collect()] == ["a", "b"]
     plan = plan_of(dedup_rows(df))
-    assert "partial_min_by" in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "partial_min(struct" in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_dedup_of_a_hot_key(spark):
@@ -128,7 +158,7 @@ def test_ingest_ids_cover_sheet_name_and_filled_columns(spark):
     text = json.dumps(
         {"author": "b", "publisher": None, "source_sheet": "journals", "title": "a", "year": "2001"}, sort_keys=True
     )
-    assert row.row_id == hashlib.sha256(f"{text}|".encode()).hexdigest()[:16]
+    assert row.row_id == hashlib.sha256(f"{text}|".encode()).hexdigest()
 
 
 def test_read_and_keep_sheets(spark, tmp_path):
@@ -145,6 +175,18 @@ def test_read_and_keep_sheets(spark, tmp_path):
     assert {tuple(r) for r in out.collect()} == {("x", "2001", "sheet_a"), ("y", "2002", "sheet_b")}
 
 
+def test_csv_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title,Author\nT1,A1\n")
+    (tmp_path / "b.csv").write_text("Author,Year,Title\nA2,2002,T2\n")
+    (tmp_path / "c.csv").write_text("Author,Year,Title\nA3,2003,T3\n")
+    (tmp_path / "d.csv").write_text("Publisher\nP4\n")
+    out = read_sheet_folder(spark, str(tmp_path), "csv", header=True)
+    got = {r.source_sheet: r.asDict() for r in out.collect()}
+    assert got["a"] == {"title": "T1", "author": "A1", "source_sheet": "a", "year": None, "publisher": None}
+    assert got["b"]["author"] == "A2" and got["c"]["title"] == "T3" and got["c"]["year"] == "2003"
+    assert got["d"]["publisher"] == "P4" and got["d"]["title"] is None
+
+
 def test_read_errors_are_not_hidden(spark, tmp_path):
     with pytest.raises(Exception):
         read_sheets(spark, {"x": str(tmp_path / "nowhere")})

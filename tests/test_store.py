@@ -57,7 +57,7 @@ def test_append_pads_computes_the_id_and_is_idempotent(spark):
     incoming = spark.createDataFrame([("  new ",)], "` Title ` string")
     out = append_rows(stored, incoming)
     added = out.filter("title like '%new%'").first()
-    assert added.year is None and len(added.row_id) == 16
+    assert added.year is None and len(added.row_id) == 64
     assert append_rows(out, incoming).count() == 2
 
 
@@ -80,8 +80,11 @@ def test_row_store_life(spark, store):
     assert store.load() is None
     assert store.save(frame(spark, ("a", 1), ("a", 1), ("b", 2))) == {"added": 2, "skipped": 1}
     assert store.save(frame(spark, ("b", 2), ("c", 3))) == {"added": 1, "skipped": 1}
-    assert store.append(spark.createDataFrame([("d",)], "`TITLE ` string")) == {"added": 1, "skipped": 0}
-    assert store.append(spark.createDataFrame([("d",)], "`TITLE ` string")) == {"added": 0, "skipped": 1}
+    first = store.append(spark.createDataFrame([("d",)], "`TITLE ` string"))
+    assert (first["added"], first["skipped"]) == (1, 0)
+    assert [r.row_id for r in first["ids"].collect()] == [store.load().filter("title = 'd'").first().row_id]
+    again = store.append(spark.createDataFrame([("d",)], "`TITLE ` string"))
+    assert (again["added"], again["skipped"]) == (0, 1)
     ids = store.load().filter("title in ('a', 'c')").select("row_id")
     assert store.delete(ids) == 2
     assert store.delete(ids) == 0
@@ -96,8 +99,38 @@ def test_store_gains_columns(spark, store):
     store.save(frame(spark, ("a", 1)))
     store.save(spark.createDataFrame([("b", "x")], "title string, note string"))
     assert rows_of(store.load().fillna(""), "title", "note") == [("a", ""), ("b", "x")]
-    with pytest.raises(ValueError):
-        store.save(spark.createDataFrame([("c", "not a year")], "title string, year string"))
+
+
+def test_store_takes_a_changed_type(spark, store):
+    store.save(frame(spark, ("a", 1), ("b", 2)))
+    store.delete(store.load().filter("title = 'b'").select("row_id"))
+    assert store.save(spark.createDataFrame([("c", "not a year")], "title string, year string")) == {"added": 1, "skipped": 0}
+    assert rows_of(store.load(), "title", "year") == [("a", "1"), ("c", "not a year")]
+
+
+def test_store_without_success_files(spark, store):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        assert store.save(frame(spark, ("a", 1)))["added"] == 1
+        assert store.save(frame(spark, ("b", 2)))["added"] == 1
+        assert rows_of(store.load(), "title") == [("a",), ("b",)]
+    finally:
+        conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+
+
+def test_an_unfinished_store_is_not_an_absent_one(spark, store):
+    frame(spark, ("a", 1)).write.parquet(f"{store.table.path}/snapshot=0/rows/batch=0")
+    with pytest.raises(ValueError, match="never finished"):
+        store.load()
+    with pytest.raises(ValueError, match="never finished"):
+        store.save(frame(spark, ("b", 2)))
+
+
+def test_years_held_as_numbers(spark):
+    df = spark.createDataFrame([(2023.0,), (1899.0,), (2023.5,), (None,)], "pub_year double")
+    good, bad = coerce_entries(df)
+    assert [r.pub_year for r in good.collect()] == [2023, None] and bad.count() == 2
 
 
 def test_deleting_every_row(spark, store):
