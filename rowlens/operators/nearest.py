@@ -10,9 +10,11 @@ size, measured with a bounded read:
 * many of both: both sides are hashed into blocks of bounded size and every pair
   of blocks is one small co-grouped task.
 
+Questions are computed once, when the search is built, and kept in the shared
+scratch folder, so a model behind them runs once whichever way is taken.
 All three give the same rows. Distances are rounded to nine decimals before
-ranking, equal ones are ordered by ``row_id``, and a zero vector has no
-distance: null, ranked last.
+ranking, equal ones are ordered by ``row_id``, and a vector that is zero or not
+finite has no distance: null, ranked last. Vectors of several lengths are refused.
 """
 
 from __future__ import annotations
@@ -462,7 +464,8 @@ def knn_approx(
     nearest = kept(knn(centres, queries, n_probe), "probes")
     probes = nearest.groupBy("query_id").agg(F.collect_set("row_id").alias("cells"))
     asked = queries.select("query_id", F.col("embedding").alias("payload")).join(probes, "query_id")
-    probed = nearest.select(F.col("row_id").alias("cell")).distinct()
+    # The condition on the rank lets the planner prune the folders of the other cells.
+    probed = nearest.where(F.col("rank") <= n_probe).select(F.col("row_id").alias("cell")).distinct()
     rows = index.join(probed, "cell", "left_semi").select("row_id", F.col(vector).alias("payload"), "cell")
     hits = kept(_search(rows, asked, k, VectorQuestions, broadcast_rows, block_rows), "hits")
     full = hits.where(F.col("rank") == k).select("query_id")
