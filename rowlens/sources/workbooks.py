@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowlens.functions.names import COLUMN_ALIASES, clean_columns
+from rowlens.sources.scratch import scratch_folder
 
 _CELLS = "file string, sheet string, row int, col int, kind string, text string"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -134,9 +135,12 @@ def read_workbooks(spark: SparkSession, folder: str, aliases=COLUMN_ALIASES) ->
     """One DataFrame per sheet name; sheets of that name in several files are taken together.
 
     The first row of a sheet holds its headers. A column is bigint, double,
-    boolean or timestamp when all its values are, else text.
+    boolean or timestamp when all its values are, else text. The workbooks are
+    parsed once, into a table by sheet in the shared scratch folder.
     """
-    cells = workbook_cells(spark, folder)
+    path = scratch_folder(spark, "cells")
+    workbook_cells(spark, folder).write.partitionBy("sheet").parquet(path)
+    cells = spark.read.schema(_CELLS).parquet(path)
     # Headers that repeat within a sheet are numbered; a column without one is named by place.
     repeats = F.row_number().over(Window.partitionBy("file", "sheet", "text").orderBy("col")) - 1
     heads = cells.filter("row = 0").select(
@@ -180,5 +184,6 @@ def read_workbooks(spark: SparkSession, folder: str, aliases=COLUMN_ALIASES) ->
     sheets: dict[str, DataFrame] = {}
     for sheet in dict.fromkeys(k.sheet for k in kinds):
         columns = [value(k).alias(k.header) for k in kinds if k.sheet == sheet]
+        # The filter on the sheet reaches the scan, which reads that folder alone.
         sheets[sheet] = clean_columns(rows.filter(F.col("sheet") == sheet).select(columns), aliases)
     return sheets
