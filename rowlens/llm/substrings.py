@@ -38,7 +38,7 @@ ANCHOR = 5
 PREFIX = 4
 GROUP_SUFFIXES = 200_000
 # Text bytes whose leaves are settled together; long texts are blocks of their own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 # A null id stands for the largest document.
 NO_ID = (1 << 63) - 1
 

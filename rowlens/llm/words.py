@@ -21,13 +21,14 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_STEP = 1 << 16
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64, up to the ``n``-th."""
     if len(_powers[0]) <= n:
-        size = 1 << (n + 1).bit_length()
+        size = (n // _STEP + 1) * _STEP + 1
         for i, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
