@@ -20,7 +20,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
 EPOCHS = 2
 # Documents of one source that one window task orders, on average.
-QUEUE_ROWS = 50_000
+QUEUE_ROWS = 5_000
 
 
 def word_count(text: Column) -> Column:
