@@ -1,6 +1,9 @@
 """Chat, toxicity, embeddings, licences and languages, and the registered queries with the pipeline."""
 
 import hashlib
+import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -184,6 +187,59 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_a_licence_exactly_at_the_threshold(spark):
+    df = spark.createDataFrame([(0, "A.\nAll rights reserved.")], "doc_id long, text string")
+    (r,) = licenses.scan_licenses(df).collect()
+    assert (r["licenses"], r["n_matches"], r["best_dice"]) == (["Proprietary"], 2, 1.0)
+
+
+def test_licenses_in_passages(spark):
+    t, prose = licenses.TEMPLATES, " ".join(f"word{i} of the page" for i in range(40))
+    wrap = lambda text, mark="": "\n".join(mark + line for line in textwrap.wrap(text, 30))
+    expected = {
+        # wrapped, embedded, inline
+        f"{prose}\n{wrap(t['GPL-3.0-notice'], ' * ')}\n{prose}": {"GPL-3.0-notice"},
+        f"{wrap(t['MIT-grant'], '# ')}\n\n{prose}": {"MIT-grant"},
+        "This package is by the team. Released under the MIT License. See the site for more of it.": {"MIT"},
+        f"{prose} {t['CC-BY-4.0']} {prose}\n{prose} {t['MPL-2.0']} {prose}": {"CC-BY-4.0", "MPL-2.0"},
+        # a passage is found after a part of it, and after a copy of it
+        f"{wrap(t['MIT-grant'][:250])} {prose[:200]} {wrap(t['MIT-grant'])} {prose} {wrap(t['MIT-grant'])}": {"MIT-grant"},
+        # found by line already: counted there only
+        f"{t['MIT']}\n{prose} {t['MIT']} {prose}": {"MIT"},
+        # too little of one, and its words far apart
+        wrap(t["GPL-3.0-notice"][:100]) + prose: set(),
+        f" {prose} ".join(w for w in re.findall(r"\S+ \S+", t["MIT-grant"])): set(),
+    }
+    # whole files, alone and with other text around them
+    for name, text in licenses.TEXTS.items():
+        for whole in (f"Copyright (c) 2020 A. Name\n\n{text}", f"{prose}\n{text.upper()}\n{prose}"):
+            expected[whole] = {name}
+    texts = list(expected)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = licenses.scan_licenses(df)
+    assert not any(x in plan._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow", "Exchange"))
+    for r in plan.collect():
+        want, got = expected[texts[r["doc_id"]]], set(r["licenses"])
+        # a whole text holds the notices that stand in it as well
+        assert want <= got if any(n in licenses.TEXTS for n in want) else want == got, (r["doc_id"], got)
+        assert r["n_matches"] == len(r["licenses"]) and (r["best_dice"] or 0) >= (0.8 if want else 0)
+    short = {"a": "one two three four five six", "b": "two three nine"}
+    rng, rows = random.Random(4), []
+    for i in range(300):
+        rows.append((i, " ".join(rng.choice("one two three four five six nine x".split()) for _ in range(rng.randint(0, 25)))))
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), short, 0.6, texts={})
+    found = 0
+    for r in out.collect():
+        w, best = rows[r["doc_id"]][1].split(), {}
+        for n, text in short.items():
+            longest = int((2 - 0.6) / 0.6 * (len(text.split()) - 1) + 1e-9)
+            runs = [w[a:b] for a in range(len(w)) for b in range(a + 2, min(len(w), a + longest + 1) + 1)]
+            best[n] = max((dice(" ".join(x), text) for x in [*runs, w]), default=0)
+        assert r["licenses"] == sorted(n for n, d in best.items() if d >= 0.6)
+        found += len(r["licenses"])
+    assert found > 20
+
+
 # -- registered ----------------------------------------------------------------
 
 
