@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from rowlens.llm.common import staged, text_blocks
@@ -29,6 +30,7 @@ MAX_DOCUMENT_PERCENT = 10
 MIN_KEPT_PERCENT = 50
 MIN_KEPT_WORDS = 25
 
+_BLANKS = "\t\n\x0b\x0c\r "
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _DIGIT = np.arange(256, dtype=np.uint8)
@@ -185,25 +187,70 @@ def quality(
     return judged.drop("host", "text_hash").withColumnRenamed("id", id_column)
 
 
+def without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines whose normalised hash is in the list of each; a text without such lines as it is."""
+    some = pc.fill_null(pc.greater(pc.list_value_length(gone), 0), False).to_numpy(zero_copy_only=False)
+    if not some.any():
+        return texts
+    rows = np.flatnonzero(some)
+    _, line_text, line_hash, _ = block_stats(texts.take(pa.array(rows)))
+    bounds = np.searchsorted(line_text, np.arange(len(rows) + 1))
+    out = texts.to_pylist()
+    for k, i in enumerate(rows.tolist()):
+        lost = set(gone[i].as_py())
+        hashes = iter(line_hash[bounds[k] : bounds[k + 1]].view(np.int64).tolist())
+        # Lines without a word have no hash and stay.
+        lines = out[i].split("\n")
+        out[i] = "\n".join(x for x in lines if not x.strip(_BLANKS) or next(hashes) not in lost)
+    return pa.array(out, texts.type)
+
+
 def keep_quality(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source"
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    host_column: str = "source",
+    size_column: str = "n_chars",
 ) -> DataFrame:
-    """The documents that :func:`quality` keeps, all columns as they are."""
+    """The documents that :func:`quality` keeps, without their boilerplate lines.
+
+    A text that loses a line gets a new ``size_column``, its number of
+    characters, if there is such a column; all else is as it was.
+    """
     measures = staged(measured(docs, id_column, text_column, host_column))
-    lost = lost_words(measures, staged(boilerplate_lines(measures)))
+    common = staged(boilerplate_lines(measures))
     each = measures.groupBy("host", "text_hash").agg(
-        F.first("n_words").alias("n_words"), F.first("n_repeat_words").alias("n_repeat_words")
+        *[F.first(c).alias(c) for c in ("n_words", "n_repeat_words", "lines", "line_words")]
     )
-    rejected = each.join(staged(lost), ["host", "text_hash"], "left").withColumn(
-        "n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long"))
-    )
-    rejected = staged(rejected.where(base_failed() | depleted()).select("host", "text_hash"))
-    host, text = _names(docs, "host", "text_hash")
+    held = each.select("host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("z"))
+    held = held.select("host", "text_hash", F.col("z.lines").alias("line"), F.col("z.line_words").alias("words"))
+    lost = held.join(common, ["host", "line"]).groupBy("host", "text_hash")
+    lost = lost.agg(F.sum("words").cast("long").alias("n_removed_words"), F.collect_set("line").alias("gone"))
+    judged = each.drop("lines", "line_words").join(staged(lost), ["host", "text_hash"], "left")
+    judged = judged.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    failed = base_failed() | depleted()
+    judged = staged(judged.where(failed | F.col("gone").isNotNull()).select("host", "text_hash", "gone", failed.alias("failed")))
+    host, text, gone, bad = _names(docs, "host", "text_hash", "gone", "failed")
     keyed = docs.withColumns(
         {
             host: F.coalesce(F.col(f"`{host_column}`").cast("string"), F.lit("")),
             text: F.xxhash64(F.col(f"`{text_column}`")),
         }
     )
-    rejected = rejected.select(F.col("host").alias(host), F.col("text_hash").alias(text))
-    return keyed.join(rejected, [host, text], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = judged.toDF(host, text, gone, bad)
+    kept = keyed.join(judged, [host, text], "left").where(~F.coalesce(F.col(bad), F.lit(False)))
+    kept = kept.select(*[F.col(f"`{c}`") for c in (*docs.columns, gone)])
+    names = list(docs.columns)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, text_column):
+            *columns, lost = block.columns
+            at = names.index(text_column)
+            columns[at] = without_lines(columns[at], lost)
+            if size_column in names:
+                n = names.index(size_column)
+                sizes = pc.utf8_length(columns[at]).cast(columns[n].type)
+                columns[n] = pc.if_else(pc.fill_null(pc.greater(pc.list_value_length(lost), 0), False), sizes, columns[n])
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return kept.mapInArrow(clean, docs.schema)

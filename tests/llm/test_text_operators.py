@@ -109,6 +109,17 @@ def test_boilerplate_lines_reject_depleted_documents_only(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if r["kept"]}
 
 
+def test_keep_quality_removes_boilerplate_lines(spark):
+    body = [f"{passage(200 + i, 40)}\n\n \x0b\n{passage(300 + i, 30)}é" for i in range(30)]
+    rows = [(i, f"\n FOOTER of  the site {i % 10}\n{t}\nfooter of the site 7", "a", -1) for i, t in enumerate(body)]
+    rows += [(100, passage(1, 70) + "\nfooter of the site 1", "other", -1), (101, passage(2, 70), "a", -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    kept = q.keep_quality(docs)
+    assert kept.schema == docs.schema
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()}
+    assert out == {**{i: ("\n" + t, len(t) + 1) for i, t in enumerate(body)}, **{r[0]: (r[1], -1) for r in rows[30:]}}
+
+
 def test_keep_quality_leaves_columns_as_they_are(docs):
     kept = q.keep_quality(docs)
     assert kept.schema == docs.schema
