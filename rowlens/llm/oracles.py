@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express, over the same whole tables.
 
 The others have none: op2 and op10 train a model, op3 tokenises and solves a
-linear program, op6 and op9 rest on XXH64, which DuckDB lacks. Tests hold those
+linear program, op6 and op9 rest on XXH64, which DuckDB lacks, op11 tokenises. Tests hold those
 against brute force, exact round trips or held-out accuracy.
 """
 
@@ -127,10 +127,68 @@ SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_matches, 0) AS n_m
 FROM docs LEFT JOIN found USING (row)
 """
 
+NEGATIVES = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+    FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+    n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+    AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+# CRC-32 of the decimal id: each byte is mixed in, then eight steps of one bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+    string_split(conv_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], repeat([-1::BIGINT], 8))))),
+    lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+TRIE = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), hashed AS (
+    SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS k, length(text) AS n FROM turns
+), own AS (
+    SELECT conv_id, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k) AS steps, ({_CRC} % 6)::INTEGER AS h
+    FROM hashed GROUP BY conv_id
+), paths AS (
+    SELECT a.conv_id, list_concat(coalesce(b.steps, [])[1 : a.h], a.steps[a.h + 1 :]) AS path
+    FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100
+), members AS (
+    SELECT conv_id, len(path) AS size, d, path[1 : d] AS node FROM paths, unnest(range(0, len(path) + 1)) t(d)
+), nodes AS (
+    SELECT node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256
+    FROM members GROUP BY node
+), linked AS (
+    SELECT *, CASE WHEN depth > 0 THEN node[1 : depth - 1] END AS above,
+        CASE WHEN depth > 0 THEN (n_convs - 1) * node[depth].n ELSE 0 END AS own_saved FROM nodes
+), fans AS (SELECT above, count(*) AS n FROM linked WHERE above IS NOT NULL GROUP BY above),
+full_nodes AS (SELECT linked.*, coalesce(fans.n, 0) AS n_children FROM linked LEFT JOIN fans ON fans.above = linked.node),
+subtrees AS (
+    SELECT node[1 : d] AS top, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(own_saved)::BIGINT AS saved_tokens
+    FROM full_nodes, unnest(range(0, depth + 1)) t(d) GROUP BY 1
+)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN subtrees ON top = f.node LEFT JOIN nodes p ON p.node = f.above
+"""
+
 LLM_ORACLES: dict[str, str] = {
     "op1_chat": CHAT,
     "op4_embeddings": EMBEDDINGS,
     "op5_quality": QUALITY,
     "op7_substrings": SUBSTRINGS,
     "op8_licenses": LICENSES,
+    "op12_hard_negatives": NEGATIVES,
+    "op13_prefix_trie": TRIE,
 }

@@ -6,20 +6,25 @@ the result into the agreed columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowlens.llm.chat import format_conversations, read_back
+from rowlens.llm.common import shared_dir
 from rowlens.llm.embedding_dedup import embedding_groups
+from rowlens.llm.hard_negatives import hard_negatives
 from rowlens.llm.language import identify
 from rowlens.llm.licenses import scan_licenses
 from rowlens.llm.mixing import mix
 from rowlens.llm.oracles import LLM_ORACLES
 from rowlens.llm.packing import pack
+from rowlens.llm.prefix_trie import as_paths, conversations, prefix_trie, regrafted
 from rowlens.llm.quality import quality
 from rowlens.llm.simhash import simhash_groups
 from rowlens.llm.substrings import substring_dedup
+from rowlens.llm.token_files import read_digests, write_tokens
 from rowlens.llm.toxicity import toxicity
 
 # A conversation whose texts try to end a turn and open another.
@@ -81,6 +86,29 @@ def simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, folder, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return read_digests(spark, path).withColumnRenamed("id", "doc_id")
+
+
+def negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label, vec_id = F.col("label"), F.col("vec_id")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = table(spark, folder, "embeddings").where(finite).select(
+        "vec_id",
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"),
+        F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        (vec_id % 100 == 0).alias("anchor"),
+    )
+    return hard_negatives(rows)
+
+
+def trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return prefix_trie(as_paths(regrafted(conversations(turns))))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat,
     "op2_toxicity": toxic,
@@ -92,6 +120,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses,
     "op9_simhash": simhash,
     "op10_language": languages,
+    "op11_token_files": token_files,
+    "op12_hard_negatives": negatives,
+    "op13_prefix_trie": trie,
 }
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
