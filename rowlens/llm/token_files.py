@@ -89,22 +89,32 @@ class WordEndIds(dict):
 
     def _remember(self, words: list[str]) -> None:
         """Encode new words: those of plain letters and signs in one call, the rest by the file's own tokenizer."""
-        plain, rest = [], []
+        plain, rest, flat, counts = [], [], [], []
         self[""] = b""
         for word in filter(None, words):
-            # Normal forms leave these characters alone, and each has one lower case.
-            usual = word.isprintable() and max(word) <= "\xff" and "<|" not in word
-            (plain if usual else rest).append(word)
-        for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self[word] = array(self.width, found.ids).tobytes()
-        pieces = [self.pretokens(word.lower()) for word in plain]
-        flat = [x for some in pieces for x in some]
+            # Letters, perhaps with a mark behind them, need no pattern. Normal forms leave
+            # the characters below U+0100 alone, and each has one lower case.
+            mark = word[-1] if word[-1] in ",." else ""
+            letters = word[:-1] if mark else word
+            if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):
+                pieces = (letters.lower(), mark) if mark else (letters.lower(),)
+            elif word.isprintable() and max(word) <= "\xff" and "<|" not in word:
+                pieces = self.pretokens(word.lower())
+            else:
+                rest.append(word)
+                continue
+            plain.append(word)
+            flat.extend(pieces)
+            counts.append(len(pieces))
+        if rest:
+            for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+                self[word] = array(self.width, found.ids).tobytes()
         if flat:
             ids = np.array(self.fast(" ".join(flat) + " "), np.uint32)
             last = np.flatnonzero(self.ends[ids])
             if len(last) != len(flat):
                 raise ValueError("an encoded word lacks its end")
-            upto = np.concatenate([[0], last + 1])[np.concatenate([[0], np.cumsum([len(x) for x in pieces])])]
+            upto = np.concatenate([[0], last + 1])[np.concatenate([[0], np.cumsum(counts)])]
             data = ids.astype(f"<u{array(self.width).itemsize}").tobytes()
             size = array(self.width).itemsize
             bounds = (upto * size).tolist()
@@ -115,7 +125,7 @@ class WordEndIds(dict):
         if len(self) >= MEMO_WORDS:
             self.clear()
         words = [text.replace("\n", " ").split(" ") for text in texts]
-        self._remember(list(set().union(*words) - self.keys()))
+        self._remember([word for word in set().union(*words) if word not in self])
         return [b"".join(map(self.__getitem__, some)) for some in words]
 
 
