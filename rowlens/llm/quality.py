@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from rowlens.llm.common import staged, text_blocks
-from rowlens.llm.words import IS_SPACE, LOWER, mixed, raw_bytes, running, span_hashes, spans, window_hashes, words_of
+from rowlens.llm.words import IS_SPACE, LOWER, keyed_hashes, mixed, raw_bytes, running, spans, window_hashes, words_of
 from rowlens.llm.words import whole_windows
 
 MIN_WORDS = 50
@@ -80,11 +80,11 @@ def block_stats(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     worded = word_to > word_from
     starts, ends, line_text = starts[worded], ends[worded], line_text[worded]
     word_from, word_to = word_from[worded], word_to[worded]
-    dup = _seen_before(line_text, span_hashes(w.data, starts, ends))
+    dup = _seen_before(line_text, keyed_hashes(w.data, starts, ends))
     dups = np.bincount(line_text[dup], minlength=n).astype(np.int64)
 
     # Normalised: A-Z lower, digits alike, blanks between words alike.
-    plain = span_hashes(_DIGIT[LOWER[w.data]], w.starts, w.ends)
+    plain = keyed_hashes(_DIGIT[LOWER[w.data]], w.starts, w.ends)
     sizes = word_to - word_from
     line_hash = np.zeros(len(starts), np.uint64)
     if len(starts):

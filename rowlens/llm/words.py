@@ -1,12 +1,15 @@
 """Words of a block of texts as numpy arrays: spans, hashes, windows.
 
-A word is a run of bytes other than space and 0x09-0x0D. Hashes are polynomials
-over bytes, taken from one prefix sum per block, then mixed; a window of words
-is hashed the same way over the hashes of its words.
+A word is a run of bytes other than space and 0x09-0x0D. Where equal hashes stand
+for equal words, a word's hash is a multilinear function of its bytes with random
+keys, drawn by the driver and sent along with the tasks, so no text
+can be made to collide. A window of words is a polynomial over the
+hashes of its words, taken from one prefix sum per block, then mixed.
 """
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +19,9 @@ import pyarrow.compute as pc
 _BASE = 0x9E3779B97F4A7C55  # any odd number
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
+# Drawn once per driver. Tasks get the driver's value with the pickled functions that use it.
+KEY = int.from_bytes(os.urandom(8), "little")
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -59,13 +65,43 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span."""
+    """Hash of each byte span, the same in every run; for features, where a collision does no harm."""
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+def _keys(n: int, key: int, stream: int) -> np.ndarray:
+    """The first ``n`` of a stream of random 64-bit keys."""
+    at = np.arange(1, 2 * n + 1, 2, dtype=np.uint64) + np.uint64(stream)
+    return mixed(mixed(at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)) ^ np.uint64(key))
+
+
+def keyed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = None) -> np.ndarray:
+    """Hash of each byte span, none of them empty.
+
+    Chunks of four bytes times a random key each, added up with the length; the
+    upper halves of two such sums. Two spans that differ have the same hash with
+    probability 2**-64, whatever they are, as long as the key is not known.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    chunks = (sizes + 3) >> 2
+    bounds = np.cumsum(chunks) - chunks
+    place = np.arange(int(chunks.sum())) - np.repeat(bounds, chunks)
+    at = np.repeat(starts, chunks) + 4 * place
+    padded = np.concatenate([data, np.zeros(4, np.uint8)])
+    value = np.ndarray((len(data) + 1,), "<u4", padded, strides=(1,))[at].astype(np.uint64)
+    last = bounds + chunks - 1
+    over = (4 * chunks - sizes).astype(np.uint64) * np.uint64(8)
+    value[last] &= np.uint64(0xFFFFFFFF) >> over
+    keys = [_keys(int(chunks.max()) + 1, KEY if key is None else key, stream) for stream in (0, 1)]
+    sums = [np.add.reduceat(value * k[1:][place], bounds) + sizes.astype(np.uint64) * k[0] for k in keys]
+    return mixed((sums[0] >> np.uint64(32) << np.uint64(32)) | (sums[1] >> np.uint64(32)))
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of bytes outside ``gap``, none across texts: starts, ends, and where each text's runs begin."""
     n = len(data)
@@ -102,7 +138,7 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        return span_hashes(LOWER[self.data] if lower else self.data, self.starts, self.ends)
+        return keyed_hashes(LOWER[self.data] if lower else self.data, self.starts, self.ends)
 
 
 def words_of(texts: pa.Array) -> Words:
