@@ -41,6 +41,16 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# A table is broadcast only if a count shows that it has at most this many bytes.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(table: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """A staged table with a broadcast hint if it is counted small; a large one is joined by a shuffle."""
+    size = table.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowlens.llm.buckets import compare_in_buckets
-from rowlens.llm.common import staged, text_blocks
+from rowlens.llm.common import broadcast_if_small, staged, text_blocks
 from rowlens.llm.components import connected_components, local_roots
 
 MAX_BITS = 4
@@ -47,18 +47,26 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id, fp`` of every row; the fingerprint as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", row: Column | None = None
+) -> DataFrame:
+    """``id, fp[, row]`` of every row; the fingerprint as a signed long, ``row`` as given."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             texts = block.column("text").cast(pa.large_binary()).to_pylist()
-            found = np.array([fingerprint(t or b"") for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = pa.array(np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [block.column("id"), found, *block.columns[2:]], ["id", "fp", *block.schema.names[2:]]
+            )
 
-    rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    return rows.mapInArrow(each, f"id {kind}, fp long")
+    rows = docs.select(
+        F.col(f"`{id_column}`").alias("id"),
+        F.col(f"`{text_column}`").alias("text"),
+        *([] if row is None else [row.alias("row")]),
+    )
+    return rows.mapInArrow(each, f"id {kind}, fp long" + ("" if row is None else ", row long"))
 
 
 def variants(prints: DataFrame) -> DataFrame:
@@ -121,6 +129,14 @@ def near_prints(prints: DataFrame) -> DataFrame:
     return connected_components(links)
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """``fp, least, component``: every fingerprint, its smallest id, and the fingerprint that stands for its component."""
+    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    near = near_prints(nodes.select("fp"))
+    grouped = nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left")
+    return grouped.withColumn("component", F.coalesce("component", "fp"))
+
+
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, ``fp``, and ``component_id``, the smallest id reachable over links.
 
@@ -130,22 +146,48 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     the component is null only if no row of it has an id.
     """
     prints = staged(fingerprints(docs, id_column, text_column))
-    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    near = near_prints(nodes.select("fp"))
-    grouped = nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "fp"))
+    grouped = _components(prints)
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = staged(grouped.join(least, "component").select("fp", "component_id"))
     return prints.join(labels, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; those that hold maps, which have no hash, as JSON."""
+
+    def holds_map(kind: T.DataType) -> bool:
+        return "map<" in kind.simpleString()
+
+    cells = [(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if holds_map(kind) else c for c, kind in cells])
+
+
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Keep one row of each group, that of the smallest id; rows without an id stay."""
-    groups = staged(simhash_groups(docs, id_column, text_column))
-    drop = staged(groups.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct())
-    kept = docs.join(drop, id_column, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if groups.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").isEmpty():
-        return kept
-    # Rows that repeat an id: one of them stays.
-    rest = kept.where(F.col(id_column).isNull())
-    return kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]).unionByName(rest)
+    """Keep exactly one row of each group, as it is.
+
+    That of the smallest id, and of several with that id (or of a group without
+    any) the one with the smallest hash of its columns; a missing id comes after all others. A row is known by
+    its id and that hash, so two texts that share an id are judged each by itself. Of rows that are equal
+    throughout one stays.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    taken, mark = {c.lower() for c in docs.columns}, "row"
+    while mark in taken or f"{mark}_verdict" in taken or f"{mark}_id" in taken:
+        mark = f"_{mark}"
+    keyed = docs.withColumn(mark, _row_hash(docs))
+    prints = staged(fingerprints(keyed, id_column, text_column, F.col(mark)))
+    labels = staged(_components(prints).select("fp", "component"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = prints.join(labels, "fp").groupBy("component").agg(F.min(order).alias("o"))
+    first = staged(first.select(F.col("o.id").alias("first_id"), F.col("o.row").alias("first_row")))
+    counts = prints.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n"))
+    judged = counts.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("row") == F.col("first_row")), "left")
+    # true: equal rows, of which one stays; false: goes. What is not listed stays as it is.
+    verdict = judged.withColumn("verdict", F.col("first_row").isNotNull()).where("not verdict or n > 1")
+    verdict = staged(verdict.select("id", "row", "verdict"))
+    verdict = broadcast_if_small(verdict, F.octet_length(F.coalesce(F.col("id").cast("string"), F.lit(""))) + 32)
+    verdict = verdict.toDF(f"{mark}_id", f"{mark}_hash", f"{mark}_verdict")
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col(f"{mark}_id")) & (F.col(mark) == F.col(f"{mark}_hash"))
+    joined = keyed.join(verdict, same, "left")
+    several = joined.where(F.col(f"{mark}_verdict")).dropDuplicates([id_column, mark])
+    return joined.where(F.col(f"{mark}_verdict").isNull()).select(*names).unionByName(several.select(*names))
