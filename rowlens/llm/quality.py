@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from rowlens.llm.common import staged, text_blocks
+from rowlens.llm.common import broadcast_if_small, staged, text_blocks
 from rowlens.llm.words import IS_SPACE, LOWER, keyed_hashes, mixed, raw_bytes, running, spans, window_hashes, words_of
 from rowlens.llm.words import whole_windows
 
@@ -237,7 +237,9 @@ def keep_quality(
             text: F.xxhash64(F.col(f"`{text_column}`")),
         }
     )
-    judged = judged.toDF(host, text, gone, bad)
+    # Only texts that fail or lose lines are listed; while they are few, no text is shuffled.
+    size = F.octet_length("host") + F.coalesce(8 * F.size("gone"), F.lit(0)) + 48
+    judged = broadcast_if_small(judged, size).toDF(host, text, gone, bad)
     kept = keyed.join(judged, [host, text], "left").where(~F.coalesce(F.col(bad), F.lit(False)))
     kept = kept.select(*[F.col(f"`{c}`") for c in (*docs.columns, gone)])
     names = list(docs.columns)
