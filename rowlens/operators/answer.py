@@ -15,6 +15,8 @@ from rowlens.operators.index import VectorIndex
 NO_QUESTION = "Please provide a question."
 NO_RESULT = "I don't know based on the uploaded data. No relevant information was found in the dataset."
 NO_CONTEXT = "No relevant context found."
+RETRIEVAL_FAILED = "Error retrieving documents: "
+ANSWER_FAILED = "Error generating answer: "
 PROMPT = """Context from the Excel dataset:
 {context}
 
@@ -44,18 +46,20 @@ def relevance_percent(distance: Column) -> Column:
 def contexts(hits: DataFrame) -> DataFrame:
     """``query_id, context, sources`` from ``query_id, rank, row_id, text, distance[, metadata]``.
 
-    A question has at most ``k`` hits, so its group is small by construction.
+    A question has at most ``k`` hits, so its group is small by construction. Each
+    text goes through the group once; what is shown of it is put together afterwards.
     """
-    shown = F.format_number(F.coalesce(relevance(F.col("distance")), F.lit(0.0)), 2)
-    part = F.concat(
-        F.lit("[Result "), F.col("rank").cast("string"), F.lit("] (Relevance: "), shown, F.lit(")\n"),
-        F.coalesce("text", F.lit("")),
-    )
     fields = [c for c in ("row_id", "text", "metadata", "distance") if c in hits.columns]
-    ordered = F.array_sort(F.collect_list(F.struct("rank", part.alias("part"), F.struct(*fields).alias("source"))))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("source"))))
+
+    def part(hit: Column) -> Column:
+        shown = F.format_number(F.coalesce(relevance(hit["source"]["distance"]), F.lit(0.0)), 2)
+        head = F.concat(F.lit("[Result "), hit["rank"].cast("string"), F.lit("] (Relevance: "), shown, F.lit(")\n"))
+        return F.concat(head, F.coalesce(hit["source"]["text"], F.lit("")))
+
     return hits.groupBy("query_id").agg(ordered.alias("found")).select(
         "query_id",
-        F.concat_ws("\n\n", F.col("found.part")).alias("context"),
+        F.concat_ws("\n\n", F.transform("found", part)).alias("context"),
         F.col("found.source").alias("sources"),
     )
 
@@ -73,13 +77,15 @@ def answer(
     make_function: Callable[[], CompleteFunction] | None = None,
     system_prompt: str | None = SYSTEM_PROMPT,
     return_sources: bool = True,
+    failures: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, question, answer, context, sources[, error]`` for ``questions(query_id, text)``.
 
     A blank question is told so; one without hits gets the fixed reply; only the
     rest reaches the model. Without a model the answer is the text of the first
     hit. With one, a question it fails on has that as its answer and in ``error``;
-    the others are answered.
+    the others are answered. ``failures(query_id, error)`` are questions that could not be
+    searched; they are told so, have no sources, and their message in ``error``.
     """
     blank, found = is_blank(F.col("question")), F.size("sources") > 0
     joined = (
@@ -95,11 +101,19 @@ def answer(
         answered = complete(
             joined.withColumn("prompt", ask), make_function, "prompt", "model", system_prompt, "error"
         )
-        failed = F.concat(F.lit("Error generating answer: "), F.col("error"))
+        failed = F.concat(F.lit(ANSWER_FAILED), F.col("error"))
         answered = answered.withColumn("model", F.coalesce("model", failed))
-    reply = F.when(blank, NO_QUESTION).when(found, F.col("model")).otherwise(NO_RESULT)
+    unsearched = F.lit(None).cast("string")
+    if failures is not None:
+        told = failures.select("query_id", F.col("error").alias("search_error"))
+        answered = answered.join(told, "query_id", "left")
+        unsearched = F.col("search_error")
+        own = F.col("error") if make_function is not None else F.lit(None).cast("string")
+        answered = answered.withColumn("error", F.coalesce(unsearched, own))
+    reply = F.when(blank, NO_QUESTION).when(unsearched.isNotNull(), F.concat(F.lit(RETRIEVAL_FAILED), unsearched))
+    reply = reply.when(found, F.col("model")).otherwise(NO_RESULT)
     columns = ["query_id", "question", reply.alias("answer"), "context"]
-    if make_function is not None:
+    if make_function is not None or failures is not None:
         columns.append("error")
     if return_sources:
         columns.append(F.coalesce("sources", F.array().cast(joined.schema["sources"].dataType)).alias("sources"))
@@ -113,9 +127,14 @@ def ask(
     make_function: Callable[[], CompleteFunction] | None = None,
     **options,
 ) -> DataFrame:
-    """Search and :func:`answer` for ``questions(query_id, text)``; blank ones are not searched."""
-    hits = index.search(questions.filter(~is_blank(F.col("text"))), k)
-    return answer(questions, hits, make_function, **options)
+    """Search and :func:`answer` for ``questions(query_id, text)``; blank ones are not searched.
+
+    With an embedder that keeps its errors in a column ``error``, a question that it
+    fails on is told so and the others are answered.
+    """
+    asked = index.embedded(questions.filter(~is_blank(F.col("text"))))
+    failures = asked.where("error is not null").select("query_id", "error") if "error" in asked.columns else None
+    return answer(questions, index.nearest(asked, k), make_function, failures=failures, **options)
 
 
 # -- history ---------------------------------------------------------------

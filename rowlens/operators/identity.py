@@ -67,11 +67,18 @@ def dedup_rows(
 
     An aggregate, not a window: copies collapse in the map tasks, so a key that
     holds a third of the rows sends one row per task through the shuffle. The
-    row is its own order, so it is carried once.
+    row is its own order, so it is carried once; where a column holds maps, which
+    have no order, the row is ordered by their JSON instead.
     """
     first = [c for c in (order_by or df.columns)]
     rest = [c for c in df.columns if c not in first]
     fields = {c: f"f{i}" for i, c in enumerate([*first, *rest])}
     row = F.struct(*[F.col(f"`{c}`").alias(f) for c, f in fields.items()])
-    kept = df.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min(row).alias("kept"))
+    maps = {f.name for f in df.schema.fields if "map<" in f.dataType.simpleString()}
+    if maps:
+        cells = [F.to_json(F.struct(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`") for c in fields]
+        chosen = F.min_by(row, F.struct(*[c.alias(f) for c, f in zip(cells, fields.values())]))
+    else:
+        chosen = F.min(row)
+    kept = df.groupBy(F.col(f"`{key}`").alias("_key")).agg(chosen.alias("kept"))
     return kept.select(*[F.col(f"kept.{fields[c]}").alias(c) for c in df.columns])

@@ -13,6 +13,7 @@ from rowlens.operators.embed import hashed_embedding
 from rowlens.operators.identity import ROW_ID, dedup_rows
 from rowlens.operators.nearest import knn
 from rowlens.operators.store import count_ids
+from rowlens.sources.scratch import kept
 from rowlens.sources.tables import ParquetTable
 
 # DataFrame with ``text`` -> the same with ``embedding``; see operators.embed.
@@ -170,11 +171,19 @@ class VectorIndex:
     def stats(self) -> dict:
         return {"name": self.name, "document_count": self.read().count(), "path": self.path}
 
-    def search(self, questions: DataFrame, k: int = 5, query_embedder: Embedder | None = None) -> DataFrame:
-        """Hits with text and metadata for ``questions(query_id, text)``.
+    def embedded(self, questions: DataFrame, query_embedder: Embedder | None = None) -> DataFrame:
+        """``query_id, embedding[, error]`` of ``questions(query_id, text)``, computed once.
 
         ``query_embedder`` serves models that treat questions unlike documents.
         """
-        asked = (query_embedder or self.embedder)(questions).select("query_id", "embedding")
+        asked = (query_embedder or self.embedder)(questions)
+        return kept(asked.select("query_id", "embedding", *(["error"] if "error" in asked.columns else [])), "asked")
+
+    def nearest(self, asked: DataFrame, k: int = 5) -> DataFrame:
+        """Hits with text and metadata for ``asked(query_id, embedding)``; one without a vector has none."""
         entries = self.read()
-        return with_payload(knn(entries, asked, k), entries, "text", "metadata")
+        return with_payload(knn(entries, asked.select("query_id", "embedding"), k), entries, "text", "metadata")
+
+    def search(self, questions: DataFrame, k: int = 5, query_embedder: Embedder | None = None) -> DataFrame:
+        """Hits with text and metadata for ``questions(query_id, text)``."""
+        return self.nearest(self.embedded(questions, query_embedder), k)

@@ -95,3 +95,23 @@ def test_ask_an_index(spark, tmp_path, questions):
     out = {r.query_id: r for r in ask(index, questions, k=1).collect()}
     assert out[1].answer == "Title: what now" and out[2].answer == "Title: and then"
     assert out[3].answer == out[5].answer == NO_QUESTION and len(out[1].sources) == 1
+
+
+def test_a_question_that_cannot_be_searched_is_told_so(spark, tmp_path, questions):
+    from rowlens.operators.embed import embed
+
+    def model():
+        def fn(texts):
+            if any(t == "what?" for t in texts):
+                raise OSError("no route")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return fn
+
+    index = VectorIndex(spark, str(tmp_path / "index"), lambda d: embed(d, model, dim=2, error="error"))
+    index.update(add_row_ids(spark.createDataFrame([("what now",), ("and then",)], "title string")))
+    for chat in (None, lambda: lambda prompts, system: ["yes"] * len(prompts)):
+        out = {r.query_id: r for r in ask(index, questions, k=1, make_function=chat).collect()}
+        assert out[1].answer == "Error retrieving documents: OSError: no route" and out[1].error == "OSError: no route"
+        assert out[1].sources == [] and out[1].context == ""
+        assert out[2].error is None and len(out[2].sources) == 1 and out[3].answer == NO_QUESTION
