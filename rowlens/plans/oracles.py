@@ -318,7 +318,13 @@ ORACLES: dict[str, str] = {
     "knn_single": KNN_SINGLE,
     "knn_batch": KNN_BATCH,
     "knn_approx": KNN_APPROX,
+    # Recall depends on the data; the exact hits are counted, five for each question.
+    "knn_quantised": """SELECT sum(least(5, n))::BIGINT AS hits, true AS "recall_at_least_0_9"
+        FROM embeddings, (SELECT count(*) AS n FROM embeddings)""",
     "lexical_topk": LEXICAL,
+    "lexical_stored": LEXICAL,
+    "search_stored": """SELECT doc_id, lang, source, n_chars FROM documents
+        WHERE contains(lower(text), 'licen') OR contains(lower(source), 'licen')""",
     "embed_blank": f"""SELECT conv_id, turn, 2 AS dim,
         CASE WHEN blank THEN 0 ELSE length(text) END::DOUBLE AS e0,
         CASE WHEN blank THEN 0 ELSE length(text) - length(replace(text, ' ', '')) END::DOUBLE AS e1
@@ -370,5 +376,9 @@ ORACLES |= {
         UNION ALL SELECT item_id::VARCHAR, length(text)::VARCHAR FROM benchmark""",
     "answer_model": f"""SELECT item_id AS query_id, {_REPLY.replace("query_id", "item_id")} AS answer,
         CASE WHEN item_id % 3 = 0 THEN 'ValueError: refused' END AS error FROM benchmark""",
+    "answer_unsearched": """SELECT item_id AS query_id,
+        CASE WHEN item_id % 3 = 0 THEN 'Error retrieving documents: ValueError: refused' ELSE 'answered' END AS answer,
+        CASE WHEN item_id % 3 = 0 THEN 'ValueError: refused' END AS error,
+        CASE WHEN item_id % 3 = 0 THEN 0 ELSE 5 END AS n_sources FROM benchmark""",
     "complete_prompts": """SELECT conv_id, turn, 'be brief: ' || upper(role) AS reply FROM conversations""",
 }

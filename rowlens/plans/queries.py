@@ -14,6 +14,9 @@ from rowlens.operators import answer as answers, explore, index, nearest, store
 from rowlens.operators.documents import row_metadata, row_text, to_documents
 from rowlens.operators.embed import complete, embed, hashed_embedding
 from rowlens.operators.identity import add_row_ids, dedup_rows
+from rowlens.operators.postings import TokenIndex
+from rowlens.operators.quantised import ProductIndex
+from rowlens.operators.trigrams import TrigramIndex
 from rowlens.sources.sheets import ingest, merge_sheets, read_sheet_folder, read_sheets, write_original_sheets
 from rowlens.functions.names import clean_columns
 from rowlens.sources.scratch import kept, scratch_folder
@@ -254,6 +257,32 @@ def embed_blank(spark, folder):
     )
 
 
+# -- stored searches -----------------------------------------------------------
+
+
+def knn_quantised(spark, folder):
+    """All vectors as questions over stored codes; how many of the exact hits are found."""
+    rows, asked = vectors(spark, folder), vector_questions(spark, folder)
+    stored = ProductIndex(spark, scratch_folder(spark, "codes"))
+    stored.build(rows)
+    hits = stored.search(asked, TOP_K).select("query_id", "row_id", F.lit(1).alias("found"))
+    exact = nearest.knn(rows, asked, TOP_K).join(hits, ["query_id", "row_id"], "left")
+    recall = F.count("found") / F.count(F.lit(1))
+    return exact.agg(F.count(F.lit(1)).alias("hits"), (recall >= 0.9).alias("recall_at_least_0_9"))
+
+
+def lexical_stored(spark, folder):
+    stored = TokenIndex(spark, scratch_folder(spark, "postings"))
+    stored.build(text_documents(spark, folder))
+    return stored.search(questions(spark, folder), TOP_K)
+
+
+def search_stored(spark, folder):
+    stored = TrigramIndex(spark, scratch_folder(spark, "trigrams"), "doc_id")
+    stored.build(table(spark, folder, "documents"), ["text", "source"])
+    return stored.search("Licen").select("doc_id", "lang", "source", "n_chars")
+
+
 # -- index -------------------------------------------------------------------
 
 
@@ -522,6 +551,32 @@ def answer_model(spark, folder):
     return answers.answer(asked, hits, make_counter).select("query_id", "answer", "error")
 
 
+def make_fussy_measure():
+    """As :func:`make_measure`, but it refuses texts that begin with a number divisible by three."""
+    measure = make_measure()
+
+    def fn(texts):
+        for t in texts:
+            head = t.partition(":")[0]
+            if head.isdigit() and int(head) % 3 == 0:
+                raise ValueError("refused")
+        return measure(texts)
+
+    return fn
+
+
+def answer_unsearched(spark, folder):
+    """Questions whose embedding fails are told so; the others are answered from the index."""
+    stored = index.VectorIndex(
+        spark, scratch_folder(spark, "index"), lambda d: embed(d, make_fussy_measure, dim=2, error="error")
+    )
+    stored.update(document_rows(spark, folder))
+    asked = questions(spark, folder).select("query_id", F.concat_ws(":", F.col("query_id").cast("string"), "text").alias("text"))
+    answered = answers.ask(stored, asked, TOP_K)
+    shown = F.when(F.col("error").isNotNull(), F.col("answer")).otherwise("answered")
+    return answered.select("query_id", shown.alias("answer"), "error", F.size("sources").alias("n_sources"))
+
+
 def make_shouter():
     return lambda prompts, system: [f"{system}: {p.upper()}" for p in prompts]
 
@@ -558,7 +613,10 @@ QUERIES: dict[str, Query] = {
     "knn_single": knn_single,
     "knn_batch": knn_batch,
     "knn_approx": knn_approx,
+    "knn_quantised": knn_quantised,
     "lexical_topk": lexical_topk,
+    "lexical_stored": lexical_stored,
+    "search_stored": search_stored,
     "embed_blank": embed_blank,
     "index_incremental": index_incremental,
     "index_incremental_counts": index_incremental_counts,
@@ -584,5 +642,6 @@ QUERIES: dict[str, Query] = {
     "index_stored_sync": index_stored_sync,
     "history_log": history_log,
     "answer_model": answer_model,
+    "answer_unsearched": answer_unsearched,
     "complete_prompts": complete_prompts,
 }
