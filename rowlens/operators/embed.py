@@ -13,14 +13,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowlens.functions.text import is_blank, tokens
 from rowlens.functions.vectors import zero_vector
+from rowlens.sources.scratch import kept
+from rowlens.sources.tables import ParquetTable
 
 EmbedFunction = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 CompleteFunction = Callable[[Sequence[str], str | None], Sequence[str]]
 VECTOR = T.ArrayType(T.FloatType())
+VECTOR_COLUMN = "embedding"
 
 
 def _each_or_all(fn: Callable[[list], Sequence], items: list, keep_errors: bool) -> tuple[list, list[str | None]]:
@@ -151,3 +154,33 @@ def hashed_embedding(
 ) -> DataFrame:
     """:func:`embed` with :func:`hashed_counts` in place of a model."""
     return df.withColumn(output, hashed_counts(F.col(text), dim))
+
+
+def remembered(spark: SparkSession, path: str, embedder: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """An embedder that calls ``embedder`` once per distinct text, ever.
+
+    Vectors are kept in a table at ``path`` by a hash of the text. Rows join to
+    it; only texts that it lacks reach the model, each once however many rows
+    hold it. Null and empty texts are one text. A text on which a model that keeps its errors
+    fails is not remembered, so the next call tries it again.
+    """
+    table = ParquetTable(spark, path, "text_id")
+
+    def run(documents: DataFrame) -> DataFrame:
+        known = table.read()
+        text_id = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_id")
+        texts = documents.select(text_id, "text").groupBy("text_id").agg(F.first("text").alias("text"))
+        if known is not None:
+            texts = texts.join(known.select("text_id"), "text_id", "left_anti")
+        fresh = embedder(texts)
+        failed = "error" in fresh.columns
+        fresh = kept(fresh.select("text_id", VECTOR_COLUMN, *(["error"] if failed else [])), "fresh")
+        good = (fresh.where("error is null") if failed else fresh).select("text_id", VECTOR_COLUMN)
+        if known is None or not good.isEmpty():
+            table.append(good)
+        rows = documents.select("*", text_id).join(table.read(), "text_id", "left")
+        if failed:
+            rows = rows.join(fresh.where("error is not null").select("text_id", "error"), "text_id", "left")
+        return rows.drop("text_id")
+
+    return run

@@ -88,7 +88,7 @@ def profile(
         ).alias("found")
     ).select(F.inline("found"))
     if exact:
-        hashes = cells.select([F.md5(F.col(f"`{c}`")).alias(c) for c in names])
+        hashes = cells.select([F.unhex(F.md5(F.col(f"`{c}`"))).alias(c) for c in names])
         values = hashes.unpivot([], [F.col(f"`{c}`") for c in names], "column", "value").where("value is not null")
         counts = values.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
         found = found.drop("n_distinct").join(counts, "column", "left")

@@ -19,6 +19,7 @@ finite has no distance: null, ranked last. Vectors of several lengths are refuse
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ BROADCAST_BYTES = 128 << 20
 # Up to this many hits (questions x k) carry a broadcast hint, so that fetching
 # their texts scans the index without shuffling it.
 BROADCAST_HITS = 500_000
+# Scans of more tasks merge their candidates in two steps.
+MERGE_TASKS = 256
 # Limits of one block when both sides are large.
 BLOCK_ROWS = 16_384
 BLOCK_BYTES = 128 << 20
@@ -270,7 +273,21 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _top_k(partial: DataFrame, k: int) -> DataFrame:
+def _merge_groups(index: DataFrame) -> int:
+    """Groups of scan tasks that merge among themselves first, so that no task sees all candidates of a question.
+
+    One while the scan is estimated to have few tasks; then about the root of their number.
+    """
+    per_task = index.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = _estimated_bytes(index) // max(1, per_task)
+    return 1 if tasks <= MERGE_TASKS else math.isqrt(tasks)
+
+
+def _top_k(partial: DataFrame, k: int, groups: int = 1) -> DataFrame:
+    if groups > 1:
+        own = partial.withColumn("merge_group", F.spark_partition_id() % groups)
+        first = Window.partitionBy("query_id", "merge_group").orderBy(F.col("distance").asc_nulls_last(), "row_id")
+        partial = own.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k).drop("nth", "merge_group")
     order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "row_id")
     return (
         partial.withColumn("rank", F.row_number().over(order))
@@ -298,7 +315,7 @@ def _search(
             questions = kind(shared.value)
             yield from _answer_table(questions, _scan(questions, batches, k, id_type)).to_batches()
 
-        hits = _top_k(index.mapInArrow(scan_index, schema), k)
+        hits = _top_k(index.mapInArrow(scan_index, schema), k, _merge_groups(index))
         return F.broadcast(hits) if query_size[0] * k <= BROADCAST_HITS else hits
 
     # An index that may be small is counted; one that is large is not scanned to find out.

@@ -329,6 +329,10 @@ ORACLES: dict[str, str] = {
         CASE WHEN blank THEN 0 ELSE length(text) END::DOUBLE AS e0,
         CASE WHEN blank THEN 0 ELSE length(text) - length(replace(text, ' ', '')) END::DOUBLE AS e1
         FROM (SELECT *, role = 'system' OR text IS NULL OR {_strip('text')} = '' AS blank FROM conversations)""",
+    "embed_once": f"""SELECT doc_id, CASE WHEN blank THEN 0 ELSE length(text) END::DOUBLE AS e0,
+        CASE WHEN blank THEN 0 ELSE length(text) - length(replace(text, ' ', '')) END::DOUBLE AS e1, n_texts
+        FROM (SELECT *, text IS NULL OR {_strip('text')} = '' AS blank FROM documents),
+            (SELECT count(DISTINCT coalesce(text, '')) AS n_texts FROM documents)""",
     "index_incremental": _entries(INDEX_STORE, f"row_id NOT IN (SELECT row_id FROM ({INDEX_IDS}))"),
     "index_incremental_counts": f"""WITH s AS ({INDEX_STORE}), i AS ({INDEX_IDS})
         SELECT count(*) FILTER (row_id NOT IN (SELECT row_id FROM i)) AS added,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowlens.operators import answer as answers, explore, index, nearest, store
 from rowlens.operators.documents import row_metadata, row_text, to_documents
-from rowlens.operators.embed import complete, embed, hashed_embedding
+from rowlens.operators.embed import complete, embed, hashed_embedding, remembered
 from rowlens.operators.identity import add_row_ids, dedup_rows
 from rowlens.operators.postings import TokenIndex
 from rowlens.operators.quantised import ProductIndex
@@ -20,6 +20,7 @@ from rowlens.operators.trigrams import TrigramIndex
 from rowlens.sources.sheets import ingest, merge_sheets, read_sheet_folder, read_sheets, write_original_sheets
 from rowlens.functions.names import clean_columns
 from rowlens.sources.scratch import kept, scratch_folder
+from rowlens.sources.tables import ParquetTable
 from rowlens.streaming.upserts import upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,6 +284,19 @@ def search_stored(spark, folder):
     return stored.search("Licen").select("doc_id", "lang", "source", "n_chars")
 
 
+def embed_once(spark, folder):
+    """Half of the documents, then all; the model sees each distinct text once."""
+    path = scratch_folder(spark, "texts")
+    once = remembered(spark, path, lambda d: embed(d, make_measure, dim=2))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept(once(docs.where("doc_id % 2 = 0")), "half")
+    rows = once(docs)
+    texts = ParquetTable(spark, path, "text_id").read().agg(F.count(F.lit(1)).alias("n_texts"))
+    return rows.join(texts, how="cross").select(
+        "doc_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(2)], "n_texts"
+    )
+
+
 # -- index -------------------------------------------------------------------
 
 
@@ -618,6 +632,7 @@ QUERIES: dict[str, Query] = {
     "lexical_stored": lexical_stored,
     "search_stored": search_stored,
     "embed_blank": embed_blank,
+    "embed_once": embed_once,
     "index_incremental": index_incremental,
     "index_incremental_counts": index_incremental_counts,
     "index_rebuild": index_rebuild,

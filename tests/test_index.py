@@ -157,3 +157,39 @@ def test_complete(spark):
 
     df = spark.createDataFrame([(1, "hi"), (2, None)], "i int, prompt string")
     assert {r.i: r.answer for r in complete(df, shout, system_prompt="s").collect()} == {1: "s:HI", 2: None}
+
+
+def test_each_distinct_text_is_embedded_once(spark, tmp_path):
+    from rowlens.operators.embed import embed, remembered
+
+    seen = tmp_path / "calls"
+    seen.mkdir()
+
+    def model():
+        import uuid
+
+        def fn(texts):
+            for t in texts:
+                (seen / uuid.uuid4().hex).write_text(t)
+                if t == "bad":
+                    raise OSError("no route")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return fn
+
+    def called():
+        return sorted(p.read_text() for p in seen.iterdir())
+
+    once = remembered(spark, str(tmp_path / "texts"), lambda d: embed(d, model, dim=2))
+    first = spark.createDataFrame([(1, "a"), (2, "a"), (3, "bb"), (4, " "), (5, None)], "n int, text string")
+    assert {r.n: r.embedding[0] for r in once(first).collect()} == {1: 1, 2: 1, 3: 2, 4: 0, 5: 0}
+    assert called() == ["a", "bb"]
+    more = spark.createDataFrame([(i, "a" if i % 2 else "ccc") for i in range(40)], "n int, text string")
+    assert once(more).where("embedding[0] = length(text)").count() == 40
+    assert called() == ["a", "bb", "ccc"] and once(more).count() == 40 and called() == ["a", "bb", "ccc"]
+    # What fails is not remembered.
+    kind = remembered(spark, str(tmp_path / "texts"), lambda d: embed(d, model, dim=2, error="error"))
+    rows = {r.text: (r.embedding, r.error) for r in kind(spark.createDataFrame([(1, "bad"), (2, "dddd"), (3, "a")], "n int, text string")).collect()}
+    assert rows["bad"] == (None, "OSError: no route") and rows["dddd"] == ([4.0, 1.0], None) and rows["a"] == ([1.0, 1.0], None)
+    once(spark.createDataFrame([(2, "dddd")], "n int, text string"))
+    assert called().count("dddd") <= 2 and called().count("a") == 1

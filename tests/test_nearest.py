@@ -222,3 +222,16 @@ def test_token_sums_in_small_pieces(spark, monkeypatch):
     asked = docs.select(F.col("row_id").alias("query_id"), "text")
     hits = lexical_topk(docs, asked, 1).collect()
     assert {r.query_id: (r.row_id, r.distance) for r in hits} == {i: (i, 0.0) for i in range(8)}
+
+
+def test_candidates_of_many_tasks_merge_in_two_steps(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from rowlens.operators import nearest
+
+    index = spark.range(0, 500, 1, 23).select(F.col("id").alias("row_id"), F.array(F.sin("id"), F.cos(F.col("id") * 3), F.lit(0.5)).alias("embedding"))
+    asked = index.where("row_id < 40").select(F.col("row_id").alias("query_id"), "embedding")
+    expected = sorted(map(tuple, nearest.knn(index, asked, 4).collect()))
+    monkeypatch.setattr(nearest, "_merge_groups", lambda df: 5)
+    merged = nearest.knn(index, asked, 4)
+    assert sorted(map(tuple, merged.collect())) == expected and "merge_group" in str(merged._jdf.queryExecution().toString())
