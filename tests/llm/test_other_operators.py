@@ -257,7 +257,7 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_there_is_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_pipeline(spark):
