@@ -1,6 +1,6 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
-A word's subwords are its character n-grams, with marks at its ends, hashed to
+A word's subwords are the n-grams of its UTF-8 bytes, with marks at its ends, hashed to
 rows of an embedding table. A text is the average over its subwords; a linear
 layer and a softmax give the languages. Both tables are trained by stochastic
 gradient descent in numpy on a bounded sample. A temperature, fitted on
@@ -16,18 +16,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from rowlens.llm.common import hash_share, held_out, staged, text_blocks
+from rowlens.llm.common import broadcast_if_small, hash_share, held_out, staged, text_blocks
 from rowlens.llm.words import IS_SPACE, mixed, raw_bytes, spans
 
 BUCKETS = 1 << 16
 DIM = 16
 SIZES = (2, 3, 4)
-# The model is fitted on at most so many documents of each language and so many bytes of text.
+# The model is fitted on at most so many documents of each language, and on so many bytes of text, shared
+# out evenly among the languages. A language's shortest documents come first, and the shortest
+# FIT_LEAST whatever its share is. Documents of more than FIT_LONGEST bytes are not learned from.
 FIT_DOCUMENTS = 600
 FIT_BYTES = 12 << 20
-MAX_LANGUAGES = 256
+FIT_LEAST = 5
+FIT_LONGEST = 1 << 20
 EPOCHS = 12
 RATE = 0.5
 BATCH = 16
@@ -76,7 +79,8 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    logits: np.ndarray  # bucket x language: embeddings through the linear layer
+    table: np.ndarray  # bucket x width: embeddings, or with few languages their logits
+    layer: np.ndarray  # width x language
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -85,9 +89,9 @@ class Model:
         sizes = np.diff(bounds)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         sums = np.stack(
-            [np.bincount(owner, self.logits[buckets, k], minlength=len(sizes)) for k in range(len(self.languages))], axis=1
+            [np.bincount(owner, self.table[buckets, k], minlength=len(sizes)) for k in range(self.table.shape[1])], axis=1
         )
-        return _softmax((sums / np.maximum(sizes, 1)[:, None] + self.bias) / self.temperature)
+        return _softmax((sums / np.maximum(sizes, 1)[:, None] @ self.layer + self.bias) / self.temperature)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -140,7 +144,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, languages: list[str], seed:
             bias -= 0.1 * rate * error.mean(axis=0)
             for j, s, d in zip(some, shares, down):
                 table[counted[j][0]] -= rate * 50 * s * d
-    model = Model(languages, table @ layer, bias, 1.0, 0.0)
+    if k <= DIM:  # the layer is applied to the table once, not to every text
+        table, layer = table @ layer, np.eye(k)
+    model = Model(languages, table, layer, bias, 1.0, 0.0)
     if len(apart):
         rows = [texts[i] for i in apart]
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
@@ -151,22 +157,31 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, languages: list[str], seed:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, lang`` outside the held-out fold, about ``FIT_DOCUMENTS`` of each language at most, by hash."""
+    """``doc_id, text, lang`` outside the held-out fold, bounded for each language by itself.
+
+    Documents are drawn by a hash of id and text, so that repeated rows count
+    once. No language with a document of at most ``FIT_LONGEST`` bytes is left out.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.where("text is not null").select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], FIT_DOCUMENTS / r["count"]).otherwise(share)
-    return known.where(hash_share("doc_id", SEED) < share)
+    known = known.select("doc_id", "text", "lang", F.octet_length("text").alias("bytes"))
+    known = known.where(F.col("bytes") <= FIT_LONGEST).withColumn("mark", F.xxhash64("doc_id", "text"))
+    found = staged(known.groupBy("lang").agg(F.approx_count_distinct("mark", 0.02).alias("n")))
+    languages = max(1, found.count())
+    shares = found.withColumn("share", F.lit(float(FIT_DOCUMENTS)) / F.greatest("n", F.lit(1))).drop("n")
+    shares = broadcast_if_small(shares, F.octet_length("lang") + 16)
+    # A language of few documents is taken whole; of the others the hash takes about the share wanted.
+    drawn = staged(known.join(shares, "lang").where(hash_share("mark", SEED) < F.col("share")).drop("share").distinct())
+    order = Window.partitionBy("lang").orderBy("bytes", "mark", "doc_id")
+    ranked = drawn.select("lang", "mark", "doc_id", "bytes", F.row_number().over(order).alias("rank"),
+                          F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    fits = (F.col("rank") <= FIT_LEAST) | (F.col("upto") <= FIT_BYTES // languages)
+    chosen = ranked.where((F.col("rank") <= FIT_DOCUMENTS) & fits).select("lang", "mark", "doc_id")
+    return drawn.join(chosen, ["lang", "mark", "doc_id"], "left_semi").select("doc_id", "text", "lang")
 
 
 def train(docs: DataFrame) -> Model | None:
     """Fit on the bounded sample; None if no document has a language."""
-    rows = staged(training_rows(docs))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = rows.where(hash_share("doc_id", SEED + 1) < FIT_BYTES / max(size, FIT_BYTES))
-    table = rows.orderBy("doc_id", "lang", "text").select("text", "lang").toArrow()
+    table = training_rows(docs).orderBy("doc_id", "lang", "text").select("text", "lang").toArrow()
     names = sorted(set(table.column("lang").to_pylist()))
     if not names:
         return None
@@ -174,15 +189,18 @@ def train(docs: DataFrame) -> Model | None:
     for batch in text_blocks(iter(table.to_batches())):
         buckets, bounds = subwords(batch.column("text"))
         texts += [buckets[a:b] for a, b in zip(bounds, bounds[1:])]
-    labels = np.array([names.index(x) if x in names else -1 for x in table.column("lang").to_pylist()])
-    return fit([t for t, y in zip(texts, labels) if y >= 0], labels[labels >= 0], names)
+    number = {name: i for i, name in enumerate(names)}
+    return fit(texts, np.array([number[x] for x in table.column("lang").to_pylist()]), names)
 
 
 def predict(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: id, ``lang_pred, score, rejected``.
 
     ``und`` with score 0 where the text is null or has no letter; ``rejected``
-    there, and where the calibrated score is below the threshold.
+    there, and where the calibrated score is below the threshold. Every row comes
+    out, those that repeat an id or a text included, and equal texts get equal
+    scores; a very long text is one block. Of languages that score alike the first in
+    code point order is taken. An empty table gives no rows.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 

@@ -9,12 +9,14 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rowlens.llm import chat, embedding_dedup as e, language, licenses, toxicity
+from rowlens.llm.words import mixed
 from rowlens.llm.queries import HOSTILE_TEXT, LLM_ORACLES, LLM_QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -124,6 +126,54 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
 
 
+def test_no_language_is_lost(spark, monkeypatch):
+    """Rare languages, languages beyond the layer's width, a hot repeated row, and a text too long to learn from."""
+    monkeypatch.setattr(language, "FIT_BYTES", 40_000)
+    monkeypatch.setattr(language, "FIT_LONGEST", 20_000)
+    ids = iter(i for i in range(1, 100_000) if not fold(i))
+    word = {f"l{k:02d}": [f"{chr(97 + k)}{chr(97 + j)}{chr(97 + (j * k) % 26)}" for j in range(12)] for k in range(20)}
+    text = {k: " ".join(v * 8) for k, v in word.items()}
+    rows = [(next(ids), text["l00"] + f" {i}", "l00") for i in range(300)]
+    rows += [(next(ids), text[k], k) for k in word for _ in range(6)]
+    hot = next(ids)
+    rows += [(hot, text["l01"], "l01")] * 3_000 + [(next(ids), text["l02"] * 500, "l02")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    sample = Counter(r["lang"] for r in language.training_rows(docs).collect())
+    assert set(sample) == set(word) and min(sample.values()) >= 5 and sample["l01"] <= 7
+    model = language.train(docs)
+    assert model.languages == sorted(word) and model.table.shape == (language.BUCKETS, language.DIM)
+    out = language.predict(docs, model).collect()
+    assert len(out) == len(rows)
+    assert len({(r["lang_pred"], r["score"]) for r in out if r["doc_id"] == hot}) == 1
+
+
+def plain_subwords(text):
+    """Hashed byte n-grams one by one, as a multiset."""
+    found = Counter()
+    for word in re.split(rb"[\x09-\x0d\x20-@\[-`{-~]+", text.lower().encode()):
+        marked = b"<" + word + b">"
+        for n in language.SIZES if word else ():
+            for i in range(len(marked) - n + 1):
+                code = 0
+                for byte in marked[i : i + n]:
+                    code = (code * 257 + byte) % (1 << 64)
+                found[int(mixed(np.array([code], np.uint64))[0] >> np.uint64(48))] += 1
+    return found
+
+
+def test_subwords_and_scores_one_by_one():
+    texts = ["The cat, sat!", "", "élan vital", "x", "a-b c_d 12 e", "  "]
+    buckets, bounds = language.subwords(pa.array(texts))
+    assert [Counter(buckets[a:b].tolist()) for a, b in zip(bounds, bounds[1:])] == [plain_subwords(t) for t in texts]
+    rng = np.random.default_rng(1)
+    model = language.Model(list("abc"), rng.normal(size=(language.BUCKETS, 5)), rng.normal(size=(5, 3)), rng.normal(size=3), 0.7, 0.0)
+    for text, got in zip(texts, model.probabilities(buckets, bounds)):
+        counts = plain_subwords(text)
+        mean = sum((model.table[b] * n for b, n in counts.items()), np.zeros(5)) / max(sum(counts.values()), 1)
+        e = np.exp((mean @ model.layer + model.bias) / 0.7)
+        assert np.allclose(got, e / e.sum())
+
+
 # -- embeddings ----------------------------------------------------------------
 
 
