@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowlens.llm.buckets import compare_in_buckets
-from rowlens.llm.common import broadcast_if_small, staged, text_blocks
+from rowlens.llm.common import broadcast_if_small, row_hash, staged, text_blocks
 from rowlens.llm.components import connected_components, local_roots
 
 MAX_BITS = 4
@@ -152,16 +152,6 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return prints.join(labels, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    """A hash of all columns; those that hold maps, which have no hash, as JSON."""
-
-    def holds_map(kind: T.DataType) -> bool:
-        return "map<" in kind.simpleString()
-
-    cells = [(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields]
-    return F.xxhash64(*[F.to_json(F.struct(c)) if holds_map(kind) else c for c, kind in cells])
-
-
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Keep exactly one row of each group, as it is.
 
@@ -174,7 +164,7 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     taken, mark = {c.lower() for c in docs.columns}, "row"
     while mark in taken or f"{mark}_verdict" in taken or f"{mark}_id" in taken:
         mark = f"_{mark}"
-    keyed = docs.withColumn(mark, _row_hash(docs))
+    keyed = docs.withColumn(mark, row_hash(docs))
     prints = staged(fingerprints(keyed, id_column, text_column, F.col(mark)))
     labels = staged(_components(prints).select("fp", "component"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")

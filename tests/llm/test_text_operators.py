@@ -12,7 +12,8 @@ from xxhash import xxh64_intdigest
 
 from rowlens.llm import buckets, quality as q, simhash as s, substrings as sub
 from rowlens.llm.components import connected_components
-from rowlens.llm.mixing import mix, source_targets, take_mix
+from rowlens.llm import mixing
+from rowlens.llm.mixing import mix, mix_plan, source_targets, take_mix
 from rowlens.llm.packing import pack, padded, solve_patterns
 from rowlens.llm.queries import tokenizer_path
 
@@ -352,6 +353,64 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))
 
 
+def merged_by_hand(items):
+    """Queues merged one item after the other; ``items``: (source, place, size). Returns copies by item."""
+    sizes = Counter()
+    for source, _, size in items:
+        sizes[source] += size
+    target = {s: t for s, _, t in source_targets(list(sizes.items()))}
+    done, stream = Counter(), []
+    for epoch in range(2):
+        for item in sorted(items):
+            done[item[0]] += item[2]
+            stream.append((done[item[0]] / target[item[0]], item[1], epoch, item))
+    copies, total = Counter(), 0
+    for _, _, _, item in sorted(stream):
+        total += item[2]
+        if total > sum(target.values()) + 1e-6:
+            break
+        copies[item] += 1
+    for source in sizes:
+        own = [x for x in items if x[0] == source]
+        gap = target[source] - sum(copies[x] * x[2] for x in own)
+        step = 1 if gap > 0 else -1
+        able = [x for x in own if 0 <= copies[x] + step <= 2 and abs(gap - step * x[2]) < abs(gap)]
+        if able:
+            copies[min(able, key=lambda x: (abs(gap - step * x[2]), x[1]))] += step
+    return copies
+
+
+def test_mix_equals_queues_merged_by_hand(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i // 2, " ".join(["w"] * int(rng.integers(1, 90))), "abc"[min(i % 5, 2)]) for i in range(300)]
+    rows += [(7_000, "one two three", "b")] * 50
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mix_plan(frame)
+    place = F.xxhash64(F.lit(7), "id", "text_hash", "source", "number")
+    found = plan.select("source", place.alias("place"), "size", "copies").collect()
+    expected = merged_by_hand([(r["source"], r["place"], r["size"]) for r in found])
+    assert len(found) == len(rows)
+    assert {(r["source"], r["place"], r["size"]): r["copies"] for r in found if r["copies"]} == +expected
+
+
+def test_equal_rows_are_taken_each_by_itself(spark, monkeypatch):
+    text = " ".join(["w"] * 100)
+    rows = [(1, text, "c", k % 2) for k in range(580)] + [(10 + k, text + "", "c", 0) for k in range(20)]
+    rows += [(1_000 + k, text, "a", 0) for k in range(100)] + [(2_000 + k, text, "b", 0) for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, `mix times` int")
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 64)
+    out = mix(frame).collect()
+    taken = Counter()
+    for r in out:
+        assert r["taken"] in (0, 100, 200)
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[r["source"]] - r["target"]) <= 50 for r in out)
+    kept = take_mix(frame)
+    assert kept.columns == frame.columns
+    found = Counter(r["source"] for r in kept.collect())
+    assert {s: n * 100 for s, n in found.items()} == +taken
+
+
 def test_mix_of_odd_rows(docs, rows, spark):
     out = mix(docs).collect()
     assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((r[0], len(words(r[1]))) for r in rows)
