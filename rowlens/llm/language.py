@@ -10,7 +10,7 @@ texts below the threshold that keeps such documents right are marked rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowlens.llm.common import broadcast_if_small, hash_share, held_out, staged, text_blocks
-from rowlens.llm.words import IS_SPACE, mixed, raw_bytes, spans
+from rowlens.llm.words import IS_SPACE, keyed_hashes, mixed, raw_bytes, spans
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -44,34 +44,40 @@ _GAP = IS_SPACE.copy()
 _GAP[[b for b in range(33, 127) if not chr(b).isalpha()]] = True
 
 
-def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the subwords of a block, and the bounds of each text's. Works on UTF-8 bytes."""
-    data, offsets = raw_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
-    starts, ends, first = spans(data, offsets, _GAP[data])
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of words in UTF-8 bytes, size by size, and the word that each is of."""
     sizes = ends - starts + 2
     at = np.cumsum(sizes) - sizes
     total = int(sizes.sum())
     marked = np.full(total, ord("<"), np.uint64)
     inner = np.ones(total, bool)
     inner[at], inner[at + sizes - 1] = False, False
-    gap = np.zeros(len(data) + 1, np.int64)
-    np.add.at(gap, starts, 1)
-    np.subtract.at(gap, ends, 1)
-    marked[inner] = data[np.cumsum(gap[:-1]) > 0]
+    marked[inner] = data[(np.repeat(starts - at - 1, sizes) + np.arange(total))[inner]]
     marked[at + sizes - 1] = ord(">")
     left = np.repeat(at + sizes, sizes) - np.arange(total)  # bytes to the end of the word
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
-    text = np.repeat(text, sizes)
-    found, owner, code = [], [], marked.copy()
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    found, owner, code = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], marked.copy()
     for n in range(2, max(SIZES) + 1):
         code = code[: total - n + 1] * np.uint64(257) + marked[n - 1 :]
         if n in SIZES and len(code):
             whole = np.flatnonzero(left[: len(code)] >= n)
             found.append((mixed(code[whole]) >> np.uint64(64 - 16)).astype(np.int64))
-            owner.append(text[whole])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    buckets, owners = np.concatenate(found), np.concatenate(owner)
+            owner.append(word[whole])
+    return np.concatenate(found), np.concatenate(owner)
+
+
+def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a block in lower case, where its words start and end, and the text that each word is in."""
+    data, offsets = raw_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
+    starts, ends, first = spans(data, offsets, _GAP[data])
+    return data, starts, ends, np.repeat(np.arange(len(texts)), np.diff(first))
+
+
+def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of a block in the order of its texts, and the bounds of each text's."""
+    data, starts, ends, text = _lowered(texts)
+    buckets, word = _hashed(data, starts, ends)
+    owners = text[word]
     order = np.argsort(owners, kind="stable")
     return buckets[order], np.searchsorted(owners[order], np.arange(len(texts) + 1))
 
@@ -86,12 +92,27 @@ class Model:
     threshold: float
 
     def probabilities(self, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of each text for each language, from its subwords."""
         sizes = np.diff(bounds)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        sums = np.stack(
-            [np.bincount(owner, self.table[buckets, k], minlength=len(sizes)) for k in range(self.table.shape[1])], axis=1
-        )
-        return _softmax((sums / np.maximum(sizes, 1)[:, None] @ self.layer + self.bias) / self.temperature)
+        return self._shares(_totals(owner, (column[buckets] for column in self.table.T), len(sizes)), sizes)
+
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        """The same from a block of texts: each distinct word of the block is added up once."""
+        data, starts, ends, text = _lowered(texts)
+        _, some, which = np.unique(keyed_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        buckets, word = _hashed(data, starts[some], ends[some])
+        in_word = _totals(word, (column[buckets] for column in self.table.T), len(some))
+        totals = _totals(text, (column[which] for column in in_word.T), len(texts))
+        return self._shares(totals, np.bincount(text, np.bincount(word, minlength=len(some))[which], len(texts)))
+
+    def _shares(self, totals: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return _softmax((totals / np.maximum(sizes, 1)[:, None] @ self.layer + self.bias) / self.temperature)
+
+
+def _totals(owner: np.ndarray, columns: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """Sums of each column by owner."""
+    return np.stack([np.bincount(owner, column, n) for column in columns], axis=1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -146,7 +167,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, languages: list[str], seed:
                 table[counted[j][0]] -= rate * 50 * s * d
     if k <= DIM:  # the layer is applied to the table once, not to every text
         table, layer = table @ layer, np.eye(k)
-    model = Model(languages, table, layer, bias, 1.0, 0.0)
+    model = Model(languages, np.asfortranarray(table), layer, bias, 1.0, 0.0)
     if len(apart):
         rows = [texts[i] for i in apart]
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
@@ -211,7 +232,7 @@ def predict(docs: DataFrame, model: Model | None, id_column: str = "doc_id", tex
             n = len(block)
             names, top, reject = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
             if model is not None:
-                p = model.probabilities(*subwords(texts))
+                p = model.of_texts(texts)
                 best = np.array(model.languages, object)[p.argmax(axis=1)]
                 names[lettered], top[lettered] = best[lettered], p.max(axis=1)[lettered]
                 reject = ~lettered | (top < model.threshold)

@@ -162,12 +162,13 @@ def plain_subwords(text):
 
 
 def test_subwords_and_scores_one_by_one():
-    texts = ["The cat, sat!", "", "élan vital", "x", "a-b c_d 12 e", "  "]
+    texts = ["The cat, sat!", "", "élan vital", "x", "a-b c_d 12 e", "  ", "the the sat CAT the"]
     buckets, bounds = language.subwords(pa.array(texts))
     assert [Counter(buckets[a:b].tolist()) for a, b in zip(bounds, bounds[1:])] == [plain_subwords(t) for t in texts]
     rng = np.random.default_rng(1)
     model = language.Model(list("abc"), rng.normal(size=(language.BUCKETS, 5)), rng.normal(size=(5, 3)), rng.normal(size=3), 0.7, 0.0)
-    for text, got in zip(texts, model.probabilities(buckets, bounds)):
+    assert np.allclose(model.of_texts(pa.array(texts)), model.probabilities(buckets, bounds))
+    for text, got in zip(texts, model.of_texts(pa.array(texts))):
         counts = plain_subwords(text)
         mean = sum((model.table[b] * n for b, n in counts.items()), np.zeros(5)) / max(sum(counts.values()), 1)
         e = np.exp((mean @ model.layer + model.bias) / 0.7)
