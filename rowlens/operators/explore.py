@@ -52,7 +52,8 @@ def sheet_counts(df: DataFrame, sheet: str = "source_sheet") -> DataFrame:
     return df.groupBy(sheet).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _cell(df: DataFrame, name: str) -> Column:
+def cell_text(df: DataFrame, name: str) -> Column:
+    """The cell as the text that values are counted by."""
     c, kind = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         c = c + F.lit(0.0)  # -0.0 and 0.0 are one value
@@ -72,7 +73,7 @@ def profile(
     kinds = df.sparkSession.createDataFrame(
         [(c, df.schema[c].dataType.simpleString()) for c in names], "column string, type string"
     )
-    cells = df.select([_cell(df, c).alias(c) for c in names])
+    cells = df.select([cell_text(df, c).alias(c) for c in names])
     distinct = [F.lit(0) if exact else F.approx_count_distinct(f"`{c}`") for c in names]
     found = cells.agg(
         F.array(

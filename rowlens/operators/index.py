@@ -179,11 +179,25 @@ class VectorIndex:
         asked = (query_embedder or self.embedder)(questions)
         return kept(asked.select("query_id", "embedding", *(["error"] if "error" in asked.columns else [])), "asked")
 
-    def nearest(self, asked: DataFrame, k: int = 5) -> DataFrame:
-        """Hits with text and metadata for ``asked(query_id, embedding)``; one without a vector has none."""
+    def nearest(
+        self, asked: DataFrame, k: int = 5, where: Callable[[DataFrame], Column] | None = None
+    ) -> DataFrame:
+        """Hits with text and metadata for ``asked(query_id, embedding)``; one without a vector has none.
+
+        ``where`` is a condition on the entries, such as one on
+        :func:`~rowlens.operators.documents.metadata_field`; it holds before the top-k.
+        """
         entries = self.read()
+        if where is not None:
+            entries = entries.where(where(entries))
         return with_payload(knn(entries, asked.select("query_id", "embedding"), k), entries, "text", "metadata")
 
-    def search(self, questions: DataFrame, k: int = 5, query_embedder: Embedder | None = None) -> DataFrame:
-        """Hits with text and metadata for ``questions(query_id, text)``."""
-        return self.nearest(self.embedded(questions, query_embedder), k)
+    def search(
+        self,
+        questions: DataFrame,
+        k: int = 5,
+        query_embedder: Embedder | None = None,
+        where: Callable[[DataFrame], Column] | None = None,
+    ) -> DataFrame:
+        """Hits with text and metadata for ``questions(query_id, text)``, among the entries that meet ``where``."""
+        return self.nearest(self.embedded(questions, query_embedder), k, where)

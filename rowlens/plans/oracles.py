@@ -141,6 +141,12 @@ KNN_BATCH = _ranked(
     f"SELECT a.vec_id AS query_id, b.vec_id AS row_id, {_DISTANCE} AS distance FROM embeddings a, embeddings b", TOP_K
 )
 
+KNN_METADATA = _ranked(
+    f"""SELECT a.vec_id AS query_id, b.vec_id AS row_id, {_DISTANCE} AS distance
+        FROM embeddings a, embeddings b WHERE b.label IN (2, 3, 5)""",
+    TOP_K,
+)
+
 KNN_SINGLE = f"""
 WITH a AS ({_centres('0')})
 SELECT row_number() OVER (ORDER BY {_DISTANCE}, b.vec_id)::INTEGER AS rank, b.vec_id AS row_id, {_DISTANCE} AS distance
@@ -311,12 +317,15 @@ ORACLES: dict[str, str] = {
     "search_regex": r"""SELECT doc_id, lang, source FROM documents
         WHERE regexp_matches(text, '(licen[cs]e|@[a-z]+\.com)', 'i')""",
     "column_profile": _PROFILE,
+    # Estimates differ from exact counts within the sketches' error.
+    "column_profile_stored": f'SELECT "column", type, non_null, sample, true AS within_error FROM ({_PROFILE})',
     "display_strings": """SELECT n_nationkey::VARCHAR AS n_nationkey, coalesce(n_name, '') AS n_name,
         CASE WHEN n_regionkey > 0 THEN n_regionkey::VARCHAR ELSE '' END AS n_regionkey FROM nation""",
     "preview": f"""SELECT {', '.join(f'{c}::VARCHAR AS {c}' for c in _ORDER_COLUMNS)}
         FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)""",
     "knn_single": KNN_SINGLE,
     "knn_batch": KNN_BATCH,
+    "knn_metadata": KNN_METADATA,
     "knn_approx": KNN_APPROX,
     # Recall depends on the data; the exact hits are counted, five for each question.
     "knn_quantised": """SELECT sum(least(5, n))::BIGINT AS hits, true AS "recall_at_least_0_9"

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowlens.operators import answer as answers, explore, index, nearest, store
-from rowlens.operators.documents import row_metadata, row_text, to_documents
+from rowlens.operators.documents import metadata_field, row_metadata, row_text, row_variant, to_documents
 from rowlens.operators.embed import complete, embed, hashed_embedding, remembered
 from rowlens.operators.identity import add_row_ids, dedup_rows
 from rowlens.operators.postings import TokenIndex
+from rowlens.operators.profiles import STANDARD_ERROR, StoredProfile
 from rowlens.operators.quantised import ProductIndex
 from rowlens.operators.trigrams import TrigramIndex
 from rowlens.sources.sheets import ingest, merge_sheets, read_sheet_folder, read_sheets, write_original_sheets
@@ -188,6 +189,19 @@ def column_profile(spark, folder):
     return explore.profile(table(spark, folder, "orders"))
 
 
+def column_profile_stored(spark, folder):
+    """Four batches sketched one after the other; estimates are held against exact counts of the whole table."""
+    rows = table(spark, folder, "orders")
+    stored = StoredProfile(spark, scratch_folder(spark, "profile"))
+    for part in range(4):
+        stored.add(rows.where(F.pmod("o_orderkey", F.lit(4)) == part))
+    exact = explore.profile(rows).select("column", F.col("n_distinct").alias("exact"))
+    error = F.abs(F.col("n_distinct") - F.col("exact"))
+    return stored.read().join(exact, "column").select(
+        "column", "type", "non_null", "sample", (error <= 4 * STANDARD_ERROR * F.col("exact") + 1).alias("within_error")
+    )
+
+
 def display_strings(spark, folder):
     nation = table(spark, folder, "nation")
     return explore.display_strings(
@@ -221,6 +235,16 @@ def knn_batch(spark, folder):
     return nearest.knn(vectors(spark, folder), vector_questions(spark, folder), TOP_K)
 
 
+def knn_metadata(spark, folder):
+    """Over a stored index with typed metadata, which is filtered before the top-k."""
+    rows = vectors(spark, folder)
+    path = scratch_folder(spark, "typed")
+    rows.select("row_id", "embedding", row_variant(rows.select("row_id", "label")).alias("metadata")).write.parquet(path)
+    entries = spark.read.parquet(path)
+    entries = entries.where(metadata_field(entries, "label", "int").isin(2, 3, 5))
+    return nearest.knn(entries, vector_questions(spark, folder), TOP_K)
+
+
 def knn_approx(spark, folder):
     """Over a stored index of which only the probed cells are read."""
     rows = vectors(spark, folder)
@@ -622,6 +646,7 @@ QUERIES: dict[str, Query] = {
     "search_all": search_all,
     "search_regex": search_regex,
     "column_profile": column_profile,
+    "column_profile_stored": column_profile_stored,
     "display_strings": display_strings,
     "preview": preview,
     "knn_single": knn_single,
@@ -639,6 +664,7 @@ QUERIES: dict[str, Query] = {
     "index_sync": index_sync,
     "index_delete": index_delete,
     "index_search": index_search,
+    "knn_metadata": knn_metadata,
     "context_build": context_build,
     "prompt_build": prompt_build,
     "answer_batch": answer_batch,

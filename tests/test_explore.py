@@ -2,6 +2,7 @@ import pytest
 
 from conftest import plan_of
 from rowlens.operators.explore import display_strings, preview, profile, search, sheet_counts
+from rowlens.operators.profiles import STANDARD_ERROR, StoredProfile
 
 SCHEMA = "a string, b string, n int, x double"
 ROWS = [("A.C", "x", 12, 1.5), ("abc", None, None, float("nan")), (None, "ABC nan", 3, -0.0), ("zz", "x", 120, 0.0)]
@@ -57,6 +58,27 @@ def test_profile_of_empty_columns_and_long_samples(spark):
     assert none == {"e": 0, "l": 0}
 
 
+def test_stored_profile_of_a_growing_table(spark, tmp_path):
+    stored = StoredProfile(spark, str(tmp_path / "p"))
+    assert stored.read().count() == 0
+    stored.add(spark.range(0, 20_000).selectExpr("id", "id % 7 as few", "cast(null as string) as none", "'x' as row_id"))
+    stored.add(spark.range(10_000, 30_000).selectExpr("id", "cast(id % 7 as string) as few", "id * 0.5D as late"))
+    stored.add(spark.range(0).selectExpr("id", "id as few"))
+    found = {r["column"]: r for r in stored.read().collect()}
+    assert set(found) == {"id", "few", "none", "late"}
+    assert found["id"]["non_null"] == 40_000 and found["id"]["type"] == "bigint" and found["id"]["sample"] == "0"
+    assert abs(found["id"]["n_distinct"] - 30_000) <= 4 * STANDARD_ERROR * 30_000
+    assert tuple(found["few"])[1:] == ("string", 40_000, 7, "0")
+    assert tuple(found["none"])[1:] == ("string", 0, 0, "N/A")
+    assert found["late"]["non_null"] == 20_000
+
+
+def test_a_stored_profile_reads_its_sketches_only(spark, tmp_path):
+    stored = StoredProfile(spark, str(tmp_path / "p"))
+    stored.add(spark.range(100).toDF("n"))
+    assert [f.rsplit("/", 2)[1] for f in stored.read().inputFiles()] == ["p"]
+
+
 def test_display_and_preview(spark, df):
     assert [tuple(r) for r in display_strings(df).collect()][:2] == [("A.C", "x", "12", "1.5"), ("abc", "", "", "")]
     nan = spark.createDataFrame([("nan",)], "a string")

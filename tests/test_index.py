@@ -5,6 +5,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from conftest import plan_of
+from rowlens.operators.documents import metadata_field, to_documents
 from rowlens.operators.embed import complete, embed, hashed_embedding
 from rowlens.operators.identity import add_row_ids
 from rowlens.operators.index import (
@@ -193,3 +194,37 @@ def test_each_distinct_text_is_embedded_once(spark, tmp_path):
     assert rows["bad"] == (None, "OSError: no route") and rows["dddd"] == ([4.0, 1.0], None) and rows["a"] == ([1.0, 1.0], None)
     once(spark.createDataFrame([(2, "dddd")], "n int, text string"))
     assert called().count("dddd") <= 2 and called().count("a") == 1
+
+
+def test_hits_are_filtered_by_metadata_before_the_top_k(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("red fox", 1990, 1.5), ("red fox runs", 2005, None), ("red hen", 2010, 2.5), ("blue", None, float("nan"))],
+        "title string, `pub 'year'` int, price double",
+    )
+    stored = VectorIndex(spark, str(tmp_path / "i"))
+    stored.update(rows)
+    asked = spark.createDataFrame([(1, "red fox")], "query_id long, text string")
+    late = lambda e: metadata_field(e, "pub 'year'", "int") >= 2000
+    found = [r["text"] for r in stored.search(asked, 1, where=late).collect()]
+    assert len(found) == 1 and "red fox runs" in found[0]
+    assert stored.search(asked, 5, where=late).count() == 2
+    assert stored.search(asked, 5, where=lambda e: metadata_field(e, "none") == "x").count() == 0
+    assert stored.search(asked, 5).count() == 4
+
+
+def test_typed_metadata_keeps_types_through_files(spark, tmp_path):
+    rows = spark.sql(
+        "select 'r' row_id, 12345678901234567890 big, 1.5D price, double('nan') bad, date'2020-01-02' day, true yes, "
+        "cast(null as int) gone, array(1, 2) many, 'a' word"
+    )
+    path = str(tmp_path / "v")
+    to_documents(rows, typed=True).write.parquet(path)
+    back = spark.read.parquet(path)
+    kinds = {"big": "decimal(20,0)", "price": "double", "bad": "double", "day": "date", "yes": "boolean", "gone": "int", "word": "string"}
+    got = back.select(*[metadata_field(back, n, k).alias(n) for n, k in kinds.items()]).first()
+    expected = rows.selectExpr("big", "price", "cast(null as double) bad", "day", "yes", "gone", "word").first()
+    assert tuple(got) == tuple(expected)
+    text = to_documents(rows)
+    assert text.select(metadata_field(text, "price", "double")).first()[0] == 1.5
+    with pytest.raises(ValueError):
+        metadata_field(text, "a'b\"c")
