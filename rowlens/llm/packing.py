@@ -4,9 +4,11 @@ Every document is tokenised once, where it is read, and cut into whole sequences
 and one rest. Only the number of pieces of each length (at most ``width`` numbers,
 whatever the input) reaches the driver. There a linear program over packing
 patterns is solved by column generation: an exact knapsack over lengths prices
-the next pattern. Patterns are rounded down, what is left over is packed first-fit
-decreasing, and the pieces of a length, ranked over the whole table, are dealt to
-the places that the patterns have for that length.
+the next pattern. The solution is rounded by diving: whole uses of its patterns are
+taken and the program is solved again for the pieces that remain, until no pattern
+is used once; only those last pieces are packed first-fit decreasing. The pieces of
+a length, ranked over the whole table, are dealt to the places that the patterns
+have for that length.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ WIDTH = 1024
 END_ID = 0
 # Encoded words kept by one Python worker.
 MEMO_WORDS = 250_000
-# The linear program ends within this share of its lower bound, when so many steps
-# have won less than that share, or after so many steps in all.
-GAP = 1e-3
-STALL = 250
-MAX_STEPS = 6_000
+# The linear program ends when its cost is less than half a sequence above its lower
+# bound, when no column pays, or after so many steps; then it is rounded as it stands.
+MAX_STEPS = 3_000
+# Steps between exact updates of a running solution.
+REFRESH = 64
 COLUMNS_AT_ONCE = 64
 
 # Every character that some definition of white space counts as blank.
@@ -53,6 +55,7 @@ def byte_tokenizer(tokenizer_path: str):
     with open(tokenizer_path, encoding="utf-8") as f:
         model = json.load(f)
     # Byte-level files write each byte as one printable character: itself, or the next one after U+0100.
+    # The bytes that stand for themselves.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = dict(zip(map(chr, plain), plain))
     letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -153,11 +156,16 @@ def cut_pieces(
 
 @dataclass
 class Pattern:
-    """``counts[i]`` pieces of ``lengths[i]`` in each of ``times`` sequences."""
+    """``counts[i]`` pieces of ``lengths[i]`` in each of ``times`` sequences.
+
+    ``origin`` is ``priced`` for a column that the knapsack priced, ``seed`` for one
+    of the columns the program began with, and ``rest`` for what rounding left over.
+    """
 
     lengths: list[int]
     counts: list[int]
     times: int
+    origin: str = "rest"
 
 
 def padded(total: np.ndarray | int, width: int = WIDTH):
@@ -206,74 +214,116 @@ def _priced_columns(prices: np.ndarray, lengths: np.ndarray, width: int, cost: n
     return columns, ratio
 
 
-def _waste(patterns: list[tuple[np.ndarray, int]], lengths: np.ndarray, width: int) -> int:
-    return sum(int(padded(column @ lengths, width) - column @ lengths) * times for column, times in patterns)
+def _flat(columns: list[np.ndarray], lengths: np.ndarray, cost: np.ndarray) -> list[np.ndarray]:
+    at = [np.flatnonzero(c) for c in columns]
+    counts = [c[i] for c, i in zip(columns, at)]
+    first = np.concatenate([[0], np.cumsum([len(i) for i in at])[:-1]])
+    totals = [int((lengths[i] * n).sum()) for i, n in zip(at, counts)]
+    return [np.concatenate(at), np.concatenate(counts), first, cost[totals]]
 
 
-def solve_patterns(counts: dict[int, int], width: int = WIDTH) -> list[Pattern]:
-    """Patterns whose places are exactly the given number of pieces of each length.
+def _solved(lengths: np.ndarray, amounts: np.ndarray, width: int, cost: np.ndarray):
+    """Basis of the linear program over patterns: (columns, uses of each, which of them the knapsack priced).
 
-    Revised simplex over generated columns. The first basis packs each length by
-    itself, and first-fit patterns are the first columns to enter. Time depends
-    on the number of lengths alone, not on the counts.
+    Revised simplex. The first basis packs each length by itself; the first-fit
+    patterns enter it one after the other, then whatever the knapsack prices.
     """
-    counts = {k: n for k, n in sorted(counts.items()) if n > 0}
-    if not counts:
-        return []
-    lengths = np.array(list(counts), np.int64)
-    amounts = np.array(list(counts.values()), np.int64)
     demand = amounts.astype(float)
-    cost = padded(np.arange(width + 1), width).astype(float)
     alone = width // lengths
     basis = np.diag(alone.astype(float))
     inverse = np.diag(1.0 / alone)
     costs = cost[alone * lengths]
-    x = inverse @ demand
-    plain = _first_fit(lengths, amounts, width)
-    pool = np.array([column for column, _ in plain], float)
+    pool = [column.astype(float) for column, _ in _first_fit(lengths, amounts, width)]
+    n_seeds, prices, x = len(pool), costs / alone, demand / alone
+    # The same columns flat, as they hold few lengths: which, how many, where each begins, cost.
+    flat = _flat(pool, lengths, cost)
+    basis_priced = np.zeros(len(lengths), bool)
     bound = float(lengths @ demand)  # a sequence is no shorter than what it holds
-    before = np.inf
-    for round_ in range(MAX_STEPS):
-        if round_ % STALL == 0:
-            if costs @ x > before - GAP * bound:
-                break
-            before = costs @ x
-        prices = costs @ inverse
-        reduced = cost[(pool @ lengths).astype(np.int64)] - pool @ prices
-        j = int(np.argmin(reduced))
-        if reduced[j] > -1e-7:
+    for n in range(n_seeds + MAX_STEPS):
+        if n % REFRESH == 0 or n == n_seeds:
+            x, prices = np.einsum("ij,j->i", inverse, demand), np.einsum("i,ij->j", costs, inverse)
+            np.maximum(x, 0, out=x)
+        held_lengths, held_counts, first, pool_cost = flat
+        reduced = pool_cost - np.add.reduceat(held_counts * prices[held_lengths], first)
+        j = n if n < n_seeds else int(np.argmin(reduced))
+        if n >= n_seeds and costs @ x <= bound + width / 2:
+            break
+        if n >= n_seeds and reduced[j] > -1e-7:
+            prices = np.einsum("i,ij->j", costs, inverse)
             columns, ratio = _priced_columns(prices, lengths, width, cost)
             bound = max(bound, float(prices @ demand) / max(ratio, 1.0))
-            if not columns or costs @ x <= (1 + GAP) * bound:
+            if not columns or costs @ x <= bound + width / 2:
                 break
-            pool = np.vstack([pool[reduced < width / 2], columns])
+            more = _flat(columns, lengths, cost)
+            more[2] += len(held_lengths)
+            flat = [np.concatenate(both) for both in zip(flat, more)]
+            pool += columns
             continue
-        column = pool[j]
-        step = inverse @ column
+        held = np.flatnonzero(pool[j])
+        step = np.einsum("ij,j->i", inverse[:, held], pool[j][held])
         out = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
-        row = int(np.argmin(out))
-        basis[:, row], costs[row] = column, cost[int(column @ lengths)]
+        ties = np.flatnonzero(out <= out.min() + 1e-9)
+        row = int(ties[np.argmax(step[ties])])  # the largest pivot of equal ones loses the least precision
+        basis[:, row], costs[row], basis_priced[row] = pool[j], pool_cost[j], j >= n_seeds
         inverse[row] /= step[row]
+        used = out[row]
+        x = np.maximum(x - used * step, 0)
+        x[row] = used
         step[row] = 0
-        inverse -= np.outer(step, inverse[row])
-        x = np.maximum(inverse @ demand, 0)
-        if costs @ x <= (1 + GAP) * bound:
+        touched = np.flatnonzero(np.abs(step) > 1e-12)
+        inverse[touched] -= step[touched, None] * inverse[row]
+        prices = prices + reduced[j] * inverse[row]
+    x = np.einsum("ij,j->i", inverse, demand)
+    return basis.astype(np.int64), np.maximum(x, 0), basis_priced
+
+
+def solve_patterns(counts: dict[int, int], width: int = WIDTH) -> list[Pattern]:
+    """Patterns whose places are exactly the given number of pieces of each length.
+
+    Time depends on the number of lengths alone, not on the counts. Of the depths
+    of the dive the one with the least padding is kept, the deepest of equal ones;
+    depth 0 is first-fit alone, so padding never exceeds that of first-fit.
+    """
+    counts = {k: n for k, n in sorted(counts.items()) if n > 0}
+    lengths = np.array(list(counts), np.int64)
+    left = np.array(list(counts.values()), np.int64)
+    cost = padded(np.arange(width + 1), width).astype(float)
+
+    def use(column: np.ndarray, times: int, origin: str) -> list[Pattern]:
+        at = np.flatnonzero(column)
+        held, full, found = column[at], int(column @ lengths), []
+        while 2 * full <= width and times > 1:  # two half sequences are one
+            if times % 2:
+                found.append(Pattern(lengths[at].tolist(), held.tolist(), 1, origin))
+            held, full, times = 2 * held, 2 * full, times // 2
+        return [*found, Pattern(lengths[at].tolist(), held.tolist(), times, origin)]
+
+    def finished(dive: list[Pattern]) -> list[Pattern]:
+        return dive + [p for column, times in _first_fit(lengths, left, width) for p in use(column, times, "rest")]
+
+    dive: list[Pattern] = []
+    best = finished(dive)
+    while left.any():
+        taken, rows = len(dive), np.flatnonzero(left)
+        basis, uses, priced = _solved(lengths[rows], left[rows], width, cost)
+        for i in np.argsort(-uses, kind="stable"):
+            column = np.zeros_like(left)
+            column[rows] = basis[:, i]
+            at = column > 0
+            times = int(min(np.floor(uses[i] + 1e-6), (left[at] // column[at]).min()))
+            if times > 0:
+                left -= times * column
+                dive = dive + use(column, times, "priced" if priced[i] else "seed")
+        if len(dive) == taken:
             break
+        best = min(finished(dive), best, key=lambda patterns: padding(patterns, width))
+    return best
 
-    left, found = amounts.copy(), []
-    for i in np.argsort(-x, kind="stable"):
-        column = basis[:, i].astype(np.int64)
-        used = column > 0
-        times = int(min(np.floor(x[i] + 1e-6), (left[used] // column[used]).min()))
-        if times > 0:
-            left -= times * column
-            found.append((column, times))
-    found += _first_fit(lengths, left, width)
-    if _waste(plain, lengths, width) < _waste(found, lengths, width):
-        found = plain  # few pieces of many lengths: rounding costs more than the program wins
-    return [
-        Pattern(lengths[column > 0].tolist(), column[column > 0].tolist(), times) for column, times in found
-    ]
+
+def padding(patterns: list[Pattern], width: int = WIDTH) -> int:
+    """Ids of padding in all sequences of these patterns."""
+    totals = ((int(np.dot(p.lengths, p.counts)), p.times) for p in patterns)
+    return sum((int(padded(total, width)) - total) * times for total, times in totals)
 
 
 def place_table(patterns: list[Pattern]) -> np.ndarray:

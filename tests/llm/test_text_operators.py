@@ -14,7 +14,7 @@ from rowlens.llm import buckets, quality as q, simhash as s, substrings as sub
 from rowlens.llm.components import connected_components
 from rowlens.llm import mixing
 from rowlens.llm.mixing import mix, mix_plan, source_targets, take_mix
-from rowlens.llm.packing import pack, padded, solve_patterns
+from rowlens.llm.packing import pack, padded, padding, solve_patterns
 from rowlens.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -467,6 +467,37 @@ def test_patterns_hold_every_piece_and_waste_little():
     assert solve_patterns({}) == [] and solve_patterns({5: 0}) == []
 
 
+def plain_first_fit(counts):
+    """Padding of first-fit decreasing, piece by piece."""
+    rooms = []
+    for piece in sorted(Counter(counts).elements(), reverse=True):
+        at = next((i for i, room in enumerate(rooms) if room >= piece), None)
+        if at is None:
+            rooms.append(1024 - piece)
+        else:
+            rooms[at] -= piece
+    return sum(int(padded(1024 - room)) - (1024 - room) for room in rooms)
+
+
+def test_priced_patterns_win_where_first_fit_wastes():
+    counts = {516: 600, 264: 600, 260: 600, 248: 1200}
+    found = solve_patterns(counts)
+    assert sum(p.times for p in found) == 900 and padding(found) == 0
+    assert {p.origin for p in found} == {"priced"}
+    assert plain_first_fit(counts) > 100_000
+
+
+def test_rounding_the_program_never_pads_more_than_first_fit():
+    rng = np.random.default_rng(4)
+    for lengths, most in [(1, 3), (2, 40), (5, 7), (20, 3), (60, 200)] * 4:
+        counts = {int(k): int(rng.integers(1, most)) for k in rng.integers(1, 1025, lengths)}
+        found, held = solve_patterns(counts), Counter()
+        for p in found:
+            for length, n in zip(p.lengths, p.counts):
+                held[length] += n * p.times
+        assert held == Counter(counts) and padding(found) <= plain_first_fit(counts)
+
+
 def test_a_word_by_word_encoding_equals_that_of_the_whole_text():
     from hypothesis import given, settings, strategies as st
 
