@@ -368,7 +368,9 @@ ORACLES["stream_upsert"] = ORACLES["row_dedup"]
 _ORDER_ID = row_id({"o_orderkey": ("o_orderkey", "n"), "seen": ("strftime(seen, '%Y-%m-%d %H:%M:%S')", "n")})
 _REPLY = """CASE WHEN query_id % 3 = 0 THEN 'Error generating answer: ValueError: refused'
                  ELSE length(text)::VARCHAR END"""
+_EVENT_ID = row_id({"user_id": ("user_id", "n"), "event_type": ("event_type", "t")})
 ORACLES |= {
+    "stream_distinct": f"SELECT DISTINCT user_id, event_type, {_EVENT_ID} AS row_id FROM events",
     "row_id_timestamp": f"""SELECT o_orderkey, {_ORDER_ID} AS row_id
         FROM (SELECT o_orderkey, make_timestamp(o_orderkey * 1000000000) AS seen FROM orders)""",
     # Saved twice, labelled documents removed, customers-by-code added: what is left is a set of rows.

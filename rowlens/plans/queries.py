@@ -22,7 +22,7 @@ from rowlens.sources.sheets import ingest, merge_sheets, read_sheet_folder, read
 from rowlens.functions.names import clean_columns
 from rowlens.sources.scratch import kept, scratch_folder
 from rowlens.sources.tables import ParquetTable
-from rowlens.streaming.upserts import upsert_stream
+from rowlens.streaming.upserts import append_stream, distinct_stream, upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOP_K = 5
@@ -461,6 +461,17 @@ def stream_upsert(spark, folder):
     return target.load()
 
 
+def stream_distinct(spark, folder):
+    """The events as a stream, each user and type of event once; ids seen are kept as state."""
+    where = scratch_folder(spark, "distinct")
+    events = table(spark, folder, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    seen = distinct_stream(stream, "ts", "3650 days", id_columns=["user_id", "event_type"])
+    writer = append_stream(seen, f"{where}/rows", f"{where}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(seen.schema).parquet(f"{where}/rows").select("user_id", "event_type", "row_id")
+
+
 # -- stored forms ------------------------------------------------------------
 
 
@@ -671,6 +682,7 @@ QUERIES: dict[str, Query] = {
     "source_list": source_list,
     "query_history": query_history,
     "stream_upsert": stream_upsert,
+    "stream_distinct": stream_distinct,
     "row_id_timestamp": row_ids_timestamp,
     "store_life": store_life,
     "original_sheets": original_sheets,

@@ -1,7 +1,7 @@
 from rowlens.operators.identity import add_row_ids
 from rowlens.operators.index import VectorIndex
 from rowlens.operators.store import RowStore, upsert
-from rowlens.streaming.upserts import upsert_stream
+from rowlens.streaming.upserts import append_stream, distinct_stream, upsert_stream
 
 SCHEMA = "title string, year int"
 
@@ -41,3 +41,40 @@ def test_rows_that_missed_the_index_are_added_on_replay(spark, tmp_path):
     assert index.is_empty()
     run(spark, source, store, str(tmp_path / "c2"), index)
     assert index.stats()["document_count"] == 1
+
+
+def test_distinct_stream_over_triggers_late_rows_and_a_restart(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "seen string, title string, year int"
+
+    def feed(*rows):
+        spark.createDataFrame(list(rows), schema).selectExpr("timestamp(seen) seen", "title", "year").coalesce(
+            1
+        ).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("seen timestamp, title string, year int").parquet(source)
+        rows = distinct_stream(stream, "seen", "2 days")
+        query = append_stream(rows, out, str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.exception() is None
+        found = spark.read.parquet(out)
+        assert found.select("row_id").distinct().count() == found.select("title", "year").distinct().count()
+        return sorted((r.title, r.year) for r in found.collect())
+
+    assert feed(("2024-01-10", "a", 1), ("2024-01-10", "a", 1), ("2024-01-09", "b", None)) == [("a", 1), ("b", None)]
+    # A restart from the checkpoint still knows the ids of the first trigger.
+    assert feed(("2024-01-11", "a", 1), ("2024-01-10", "c", 3)) == [("a", 1), ("b", None), ("c", 3)]
+    # The watermark is at 01-09: later than that is late, and is dropped.
+    assert feed(("2024-01-01", "late", 0)) == [("a", 1), ("b", None), ("c", 3)]
+    # After its state has expired an id comes through again.
+    feed(("2024-02-01", "d", 4))
+    assert feed(("2024-02-01", "a", 1)).count(("a", 1)) == 2
+
+
+def test_rows_without_a_time_are_told_apart_within_a_trigger(spark, tmp_path):
+    source, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "seen timestamp, title string"
+    for day in (10, 11):
+        rows = spark.sql(f"SELECT timestamp'2024-01-{day}' seen, 't{day}' title UNION ALL SELECT NULL, 'n' UNION ALL SELECT NULL, 'n'")
+        rows.coalesce(1).write.mode("append").parquet(source)
+        stream = distinct_stream(spark.readStream.schema(schema).parquet(source), "seen", "2 days")
+        append_stream(stream, out, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.title for r in spark.read.parquet(out).collect()) == ["n", "n", "t10", "t11"]
