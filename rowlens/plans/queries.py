@@ -41,6 +41,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as a stream, be it one file or a folder of files: the path is a pattern, as a plain one must be a folder."""
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def raw_sheets(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     return {n: table(spark, folder, n).toDF(*HEADERS[n]) for n in names or HEADERS}
 
@@ -453,10 +458,8 @@ def query_history(spark, folder):
 def stream_upsert(spark, folder):
     """The documents read as a stream, upserted batch by batch; read back from the store."""
     where = scratch_folder(spark, "stream")
-    docs = table(spark, folder, "documents")
-    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     target = store.RowStore(spark, f"{where}/store")
-    identified = add_row_ids(stream, id_columns=["text"])
+    identified = add_row_ids(table_stream(spark, folder, "documents"), id_columns=["text"])
     upsert_stream(identified, target, f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return target.load()
 
@@ -464,9 +467,7 @@ def stream_upsert(spark, folder):
 def stream_distinct(spark, folder):
     """The events as a stream, each user and type of event once; ids seen are kept as state."""
     where = scratch_folder(spark, "distinct")
-    events = table(spark, folder, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    seen = distinct_stream(stream, "ts", "3650 days", id_columns=["user_id", "event_type"])
+    seen = distinct_stream(table_stream(spark, folder, "events"), "ts", "3650 days", id_columns=["user_id", "event_type"])
     writer = append_stream(seen, f"{where}/rows", f"{where}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(seen.schema).parquet(f"{where}/rows").select("user_id", "event_type", "row_id")

@@ -1,6 +1,9 @@
+import pytest
+
 from rowlens.operators.identity import add_row_ids
 from rowlens.operators.index import VectorIndex
 from rowlens.operators.store import RowStore, upsert
+from rowlens.plans.queries import QUERIES
 from rowlens.streaming.upserts import append_stream, distinct_stream, upsert_stream
 
 SCHEMA = "title string, year int"
@@ -78,3 +81,19 @@ def test_rows_without_a_time_are_told_apart_within_a_trigger(spark, tmp_path):
         stream = distinct_stream(spark.readStream.schema(schema).parquet(source), "seen", "2 days")
         append_stream(stream, out, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.title for r in spark.read.parquet(out).collect()) == ["n", "n", "t10", "t11"]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_that_is_a_folder_of_files_is_streamed_whole(spark, tmp_path, files):
+    folder = str(tmp_path / "tables")
+    docs = [(i, f"text {i % 5}" if i % 7 else None, "en", "web", 6) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(
+        files
+    ).write.parquet(f"{folder}/documents.parquet")
+    rows = QUERIES["stream_upsert"](spark, folder).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(0, None), *((i, f"text {i % 5}") for i in range(1, 6))]
+    events = [(i, i % 3, "view" if i % 2 else "buy") for i in range(20)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").selectExpr(
+        "*", "timestamp_seconds(event_id) ts"
+    ).repartition(files).write.parquet(f"{folder}/events.parquet")
+    assert QUERIES["stream_distinct"](spark, folder).count() == 6
