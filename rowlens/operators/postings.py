@@ -1,14 +1,17 @@
 """A stored inverted index: top-k by cosine of token counts without reading the texts again.
 
 Documents are dealt into blocks by a hash of their id. A posting row is a token
-in a block: which documents of the block have it, with what weight (count over
-the length of the document's count vector), and the largest of these weights. Rows
+in a block: the places in the block of the documents that have it, how often they have it, and
+the largest of their weights (count over the length of the document's count vector).
+One more row per block, without a token, names its documents and their lengths. So the texts are
+shuffled once, whole blocks become postings in one task, and a posting is a few bytes. Rows
 are stored in folders by a hash of the token, so a search reads the folders and rows of its own
 tokens only. They meet by block, each block is scored for all questions in
 numpy, and a question skips a block in which even the largest weights together
 cannot beat what it has found so far.
 
-    path/postings   bucket=.../ token, block, largest, documents, weights
+    path/postings   bucket=.../ token, block, largest, places, counts
+                    bucket=-1/  block, documents, lengths
     path/shape      blocks, buckets, type of the ids
 """
 
@@ -32,10 +35,44 @@ BUCKETS = 64
 NAMED_TOKENS = 2_000
 
 
+# Folder of the rows without a token.
+NO_TOKEN = -1
+
+
 def _bucket(token, buckets: int):
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``block``, cut and put together to one for each block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            block = batch.column("block").to_numpy()
+            if held and held[0].column("block")[0].as_py() != block[0]:
+                yield pa.concat_batches(held)
+                held = []
+            n = int(np.searchsorted(block, block[0], side="right"))
+            held.append(batch.slice(0, n))
+            batch = batch.slice(n)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _place_type(documents: int):
+    """Of places in a block, from the number of its documents."""
+    return np.dtype("<u2" if documents <= 1 << 16 else "<u4")
+
+
+def _binary(numbers: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One value of bytes for each stretch of numbers."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * numbers.itemsize
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a block of postings has more than 2 GB; build with fewer rows in a block")
+    buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(numbers.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
+
+
 class TokenIndex:
     """Stored postings of ``row_id, text``; ``row_id`` is unique."""
 
@@ -44,53 +81,76 @@ class TokenIndex:
 
     def build(self, documents: DataFrame, text: str = "text", block_rows: int = BLOCK_ROWS, buckets: int = BUCKETS) -> None:
         """Tokenise once and store. Documents without a token have no posting and are never a hit."""
-        rows = documents.select("row_id", tokens(F.col(text)).alias("payload")).where(F.size("payload") > 0)
+        rows = documents.select("row_id", F.col(text).alias("payload")).where("row_id is not null and payload is not null")
         blocks = max(1, -(-documents.count() // block_rows))
         kind = documents.schema["row_id"].dataType.simpleString()
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1_024):
-                    batch = whole.slice(at, 1_024)
-                    words, row, word, counts = _token_counts(batch.column("payload"))
-                    lengths = np.sqrt(np.bincount(row, counts**2, len(batch)))
-                    columns = [batch.column(c).take(pa.array(row)) for c in ("row_id", "block")]
-                    yield pa.RecordBatch.from_arrays(
-                        [*columns, words.take(pa.array(word)), pa.array(counts / lengths[row])],
-                        ["row_id", "block", "token", "weight"],
-                    )
+        def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _whole_blocks(batches):
+                words, row, word, counts = _token_counts(block.column("payload"))
+                if not len(row):
+                    continue
+                order = np.lexsort((row, word))
+                row, word, counts = row[order], word[order], counts[order]
+                lengths = np.sqrt(np.bincount(row, counts**2, len(block)))
+                per = np.bincount(word, minlength=len(words))
+                first = np.cumsum(per) - per
+                largest = np.maximum.reduceat(counts / lengths[row], first)
+                number, n = block.column("block")[0].as_py(), len(words)
+                few = np.dtype("<u1" if counts.max() < 256 else "<u4")
+                ids = block.column("row_id")
+                own = pa.array([0, len(block)], pa.int32())
+                columns = {
+                    "token": pa.concat_arrays([words, pa.nulls(1, words.type)]),
+                    "block": pa.array(np.full(n + 1, number, np.int32)),
+                    "largest": pa.array(np.append(largest, 0.0)),
+                    "places": pa.concat_arrays([_binary(row.astype(_place_type(len(block))), per), pa.nulls(1, pa.binary())]),
+                    "counts": pa.concat_arrays([_binary(counts.astype(few), per), pa.nulls(1, pa.binary())]),
+                    "documents": pa.concat_arrays([pa.nulls(n, pa.list_(ids.type)), pa.ListArray.from_arrays(own, ids)]),
+                    "lengths": pa.concat_arrays([pa.nulls(n, pa.list_(pa.float64())), pa.ListArray.from_arrays(own, pa.array(lengths))]),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"))
-        weighed = dealt.mapInArrow(count, f"row_id {kind}, block int, token string, weight double")
-        lists = weighed.groupBy("token", "block").agg(
-            F.max("weight").alias("largest"), F.collect_list("row_id").alias("documents"), F.collect_list("weight").alias("weights")
-        )
-        placed = lists.withColumn("bucket", _bucket("token", buckets))
+        # Cut into tokens behind the shuffle, as lists of tokens are larger than texts.
+        whole = dealt.repartition("block").sortWithinPartitions("block").withColumn("payload", tokens(F.col("payload")))
+        lists = whole.mapInArrow(invert, self._schema(kind))
+        placed = lists.withColumn("bucket", F.when(F.col("token").isNull(), NO_TOKEN).otherwise(_bucket("token", buckets)))
         # A bucket is one range of tokens after another, so row groups are pruned by token.
         placed = placed.repartition("bucket", F.pmod("block", F.lit(16))).sortWithinPartitions("bucket", "token", "block")
         placed.write.partitionBy("bucket").parquet(f"{self.path}/postings")
         shape = self.spark.createDataFrame([(blocks, buckets, kind)], "blocks int, buckets int, kind string")
         shape.write.parquet(f"{self.path}/shape")
 
+    @staticmethod
+    def _schema(kind: str) -> str:
+        lists = f"documents array<{kind}>, lengths array<double>"
+        return f"token string, block int, largest double, places binary, counts binary, {lists}"
+
+    def _stored(self) -> tuple[DataFrame, int]:
+        _, buckets, kind = self.spark.read.parquet(f"{self.path}/shape").first()
+        return self.spark.read.schema(f"{self._schema(kind)}, bucket int").parquet(f"{self.path}/postings"), buckets
+
     def postings(self, asked: DataFrame) -> DataFrame:
         """The stored rows of the tokens in ``asked(token)``; other folders are not listed, other rows not read."""
-        _, buckets, kind = self.spark.read.parquet(f"{self.path}/shape").first()
-        schema = f"token string, block int, largest double, documents array<{kind}>, weights array<double>, bucket int"
-        stored = self.spark.read.schema(schema).parquet(f"{self.path}/postings")
+        stored, buckets = self._stored()
         own = kept(asked.select("token").distinct().withColumn("bucket", _bucket("token", buckets)), "tokens")
         folders = [r["bucket"] for r in own.select("bucket").distinct().collect()]
         stored = stored.where(F.col("bucket").isin(folders))
         few = own.limit(NAMED_TOKENS + 1).select("token").collect()
         if len(few) <= NAMED_TOKENS:
             stored = stored.where(F.col("token").isin([r["token"] for r in few]))
-            return stored.select("token", "block", "largest", "documents", "weights")
+            return stored.select("token", "block", "largest", "places", "counts")
         joined = stored.join(own, ["bucket", "token"], "left_semi")
-        return joined.select("token", "block", "largest", "documents", "weights")
+        return joined.select("token", "block", "largest", "places", "counts")
 
     def _scored(self, questions: DataFrame, k: int) -> DataFrame:
         """Best ``k`` per task of a bounded number of ``questions(query_id, payload)``."""
         shared = self.spark.sparkContext.broadcast(questions.toArrow())
         rows = self.postings(questions.select(F.explode("payload").alias("token")))
+        # The rows that name the documents of the blocks: one for each block.
+        named = self._stored()[0].where(F.col("bucket") == NO_TOKEN).drop("bucket")
+        rows = rows.unionByName(named, allowMissingColumns=True)
         ids, kind = (df.schema[c].dataType for df, c in ((questions, "query_id"), (rows, "documents")))
         schema = f"query_id {ids.simpleString()}, row_id {kind.elementType.simpleString()}, distance double, skipped long"
         by_block = rows.repartition("block").sortWithinPartitions("block")
@@ -98,18 +158,8 @@ class TokenIndex:
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = TokenQuestions(shared.value)
             search = _BlockSearch(asked, k)
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                while batch.num_rows:  # whole blocks at a time
-                    block = batch.column("block").to_numpy()
-                    if held and held[0].column("block")[0].as_py() != block[0]:
-                        search.add(pa.concat_batches(held))
-                        held = []
-                    n = int(np.searchsorted(block, block[0], side="right"))
-                    held.append(batch.slice(0, n))
-                    batch = batch.slice(n)
-            if held:
-                search.add(pa.concat_batches(held))
+            for block in _whole_blocks(batches):
+                search.add(block)
             yield from search.result()
 
         return by_block.mapInArrow(score, schema)
@@ -152,6 +202,10 @@ class _BlockSearch:
 
     def add(self, block: pa.RecordBatch) -> None:
         asked, n_asked = self.asked, len(self.asked.ids)
+        known = pc.is_valid(block.column("token"))
+        head, block = block.filter(pc.invert(known)), block.filter(known)
+        if not block.num_rows:
+            return
         word = pc.index_in(block.column("token"), asked.words)
         word = pc.fill_null(word, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         begin, end = asked.first[word], asked.first[word + 1]
@@ -167,11 +221,15 @@ class _BlockSearch:
         mine = np.flatnonzero(hopeful)
         if not len(mine):
             return
-        lists, weights = block.column("documents"), block.column("weights")
-        names = lists.flatten().dictionary_encode()
-        document, weight = names.indices.to_numpy().astype(np.int64), weights.flatten().to_numpy()
-        per = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        names = head.column("documents").flatten().dictionary_encode()
+        kind = _place_type(len(names))
+        per = pc.binary_length(block.column("places")).to_numpy().astype(np.int64) // kind.itemsize
         first = np.cumsum(per) - per
+        here = np.frombuffer(b"".join(block.column("places").to_pylist()), kind)
+        counts = b"".join(block.column("counts").to_pylist())
+        counts = np.frombuffer(counts, f"<u{len(counts) // len(here)}")
+        weight = counts / head.column("lengths").flatten().to_numpy()[here]
+        document = names.indices.to_numpy().astype(np.int64)[here]
         ids = names.dictionary
         order = pc.sort_indices(ids).to_numpy().astype(np.int64)
         position = np.empty(len(ids), np.int64)

@@ -88,6 +88,17 @@ def test_stored_postings_give_the_hits_of_the_scan(spark, texts, tmp_path, block
     assert index.search(asked.limit(0), 5).collect() == []
 
 
+def test_a_posting_is_a_few_bytes(spark, texts, tmp_path):
+    index = TokenIndex(spark, str(tmp_path / "tokens"))
+    many = spark.createDataFrame([("often", "w1 " * 70_000 + "w2"), ("some", "w1 " * 300)], texts.schema)
+    index.build(texts.unionByName(many), block_rows=8, buckets=5)
+    rows = index.postings(spark.createDataFrame([("w1",), ("w2",)], "token string")).collect()
+    # A place takes two bytes, a count one, or four in a block with a count beyond 255.
+    assert rows and {len(r["counts"]) * 2 / len(r["places"]) for r in rows} == {1, 4}
+    asked = spark.createDataFrame([("q", "w1 w1 w2"), ("p", "w2 w5")], "query_id string, text string")
+    assert rows_of(index.search(asked, 9)) == rows_of(lexical_topk(texts.unionByName(many), asked, 9))
+
+
 def test_blocks_that_cannot_win_are_skipped(spark, texts, tmp_path):
     index = TokenIndex(spark, str(tmp_path / "tokens"))
     index.build(texts, block_rows=4, buckets=5)
