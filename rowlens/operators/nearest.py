@@ -75,10 +75,15 @@ class VectorQuestions:
     """Questions given as vectors; with ``cells``, each looks at its own cells only."""
 
     block_rows, chunk = 8_192, 512
+    # Rows of the first block, which gives the bars; questions that are ranked against all rows of a block at once.
+    first_rows, dense = 1_024, 128
+    # Pairs that are measured exactly in one piece.
+    pairs = 32_768
 
     def __init__(self, table: pa.Table):
         self.ids = table["query_id"].combine_chunks()
         self.unit, self.defined = _unit(_matrix(table["payload"]))
+        self.single = self.unit.astype(np.float32)
         self.by_cell = None
         if "cells" in table.column_names:
             lists = table["cells"].combine_chunks()
@@ -93,26 +98,57 @@ class VectorQuestions:
         return *_unit(_matrix(batch.column("payload"))), cells
 
     def _block(self, asks: np.ndarray, unit: np.ndarray, defined: np.ndarray) -> np.ndarray:
-        if len(asks) and len(unit) and self.unit.shape[1] != unit.shape[1]:
-            raise ValueError(f"questions have {self.unit.shape[1]} elements, the index has {unit.shape[1]}")
+        if len(asks):
+            self._same_length(unit)
         undefined = ~self.defined[asks, None] | ~defined[None, :]
         return np.where(undefined, _UNDEFINED, _ranks(self.unit[asks] @ unit.T))
 
-    def blocks(self, loaded) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(questions, rows, ranks) of all that is to be compared, in bounded pieces."""
-        unit, defined, cell_of = loaded
+    def _groups(self, cell_of: np.ndarray | None, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(questions, rows) that are to be compared with each other."""
         if cell_of is None:
-            groups = [(np.arange(len(self.ids)), np.arange(len(unit)))]
-        else:
-            order = np.argsort(cell_of, kind="stable")
-            names, starts = np.unique(cell_of[order], return_index=True)
-            rows_of = np.split(order, starts[1:])
-            none = np.zeros(0, np.int64)
-            groups = [(self.by_cell.get(n, none), rows) for n, rows in zip(names.tolist(), rows_of)]
-        for asks, rows in groups:
+            return [(np.arange(len(self.ids)), np.arange(n))]
+        order = np.argsort(cell_of, kind="stable")
+        names, starts = np.unique(cell_of[order], return_index=True)
+        rows_of = np.split(order, starts[1:])
+        none = np.zeros(0, np.int64)
+        return [(self.by_cell.get(n, none), rows) for n, rows in zip(names.tolist(), rows_of)]
+
+    def found(self, loaded, k: int, bar: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(question, row, rank) of the pairs that may be among the first ``k``, in bounded pieces.
+
+        ``bar`` holds the rank that ``k`` rows of a question are known not to exceed.
+        Products in single precision tell which pairs may reach it, with room for
+        their error; only these are measured in double precision.
+        """
+        unit, defined, cell_of = loaded
+        single = unit.astype(np.float32)
+        room = (unit.shape[1] + 8) * 2.0**-22 + 1 / _SCALE
+        for asks, rows in self._groups(cell_of, len(unit)):
             for lo in range(0, len(asks), self.chunk):
                 some = asks[lo : lo + self.chunk]
-                yield some, rows, self._block(some, unit[rows], defined[rows])
+                barred = bar[some] < _UNDEFINED
+                whole, some = some[~barred], some[barred]
+                if len(some):
+                    self._same_length(unit)
+                    least = (1.0 - bar[some] / _SCALE - room).astype(np.float32)
+                    near = self.single[some] @ (single if len(rows) == len(single) else single[rows]).T >= least[:, None]
+                    if np.count_nonzero(near) * 8 > near.size:  # many copies
+                        whole = np.concatenate([whole, some])
+                    else:
+                        query, row = np.nonzero(near)
+                        query, row = some[query], rows[row]
+                        for at in range(0, len(query), self.pairs):
+                            q, r = query[at : at + self.pairs], row[at : at + self.pairs]
+                            rank = _ranks(np.einsum("ij,ij->i", self.unit[q], unit[r]))
+                            good = (rank <= bar[q]) & defined[r]
+                            yield q[good], r[good], rank[good]
+                for at in range(0, len(whole), self.dense):
+                    part = whole[at : at + self.dense]
+                    yield _first(part, rows, self._block(part, unit[rows], defined[rows]), k, bar)
+
+    def _same_length(self, unit: np.ndarray) -> None:
+        if len(unit) and self.unit.shape[1] != unit.shape[1]:
+            raise ValueError(f"questions have {self.unit.shape[1]} elements, the index has {unit.shape[1]}")
 
 
 def _token_counts(lists: pa.ListArray):
@@ -133,7 +169,8 @@ class TokenQuestions:
     added up in pieces of bounded size.
     """
 
-    block_rows, chunk = 1_024, 64
+    block_rows = first_rows = 1_024
+    chunk = 64
     additions = 2_000_000
 
     def __init__(self, table: pa.Table):
@@ -155,7 +192,7 @@ class TokenQuestions:
         share = count[hit] / np.where(lengths > 0, lengths, 1.0)[row[hit]]
         return batch.num_rows, row[hit], place[hit] if len(place) else hit, share
 
-    def blocks(self, loaded) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def found(self, loaded, k: int, bar: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n, row, word, share = loaded
         for lo in range(0, len(self.ids), self.chunk):
             hi = min(lo + self.chunk, len(self.ids))
@@ -172,7 +209,7 @@ class TokenQuestions:
                     place = (self.question[at] - lo) * n + np.repeat(row[part], sizes)
                     cosine += np.bincount(place, self.weight[at] * np.repeat(share[part], sizes), len(cosine))
             cosine = cosine.reshape(hi - lo, n)
-            yield np.arange(lo, hi), np.arange(n), np.where(cosine > 0, _ranks(cosine), _EXCLUDED)
+            yield _first(np.arange(lo, hi), np.arange(n), np.where(cosine > 0, _ranks(cosine), _EXCLUDED), k, bar)
 
     def _stretch(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Where in each token's posting list the questions ``lo`` to ``hi`` stand."""
@@ -201,42 +238,66 @@ def _present(rows):
     return rows.filter(pc.is_valid(payload)) if payload.null_count else rows
 
 
+def _first(asks: np.ndarray, rows: np.ndarray, ranks: np.ndarray, k: int, bar: np.ndarray):
+    """(question, row, rank) of the first ``k`` of each line of ``ranks``, ties by row; lowers the bars to the last of them."""
+    if not ranks.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    packed = (ranks << 31) | rows[None, :]
+    if k < packed.shape[1]:
+        packed = np.partition(packed, k - 1, axis=1)[:, :k]
+    if k <= packed.shape[1]:
+        bar[asks] = np.minimum(bar[asks], packed.max(axis=1) >> 31)
+    query = np.repeat(asks, packed.shape[1])
+    packed = packed.ravel()
+    ok = (packed >> 31) < _EXCLUDED
+    return query[ok], packed[ok] & (2**31 - 1), packed[ok] >> 31
+
+
+def _pieces(rows: int, first: int, most: int, seen: int) -> Iterator[tuple[int, int]]:
+    """Stretches of a batch, short ones until as many rows have been seen."""
+    at = 0
+    while at < rows:
+        n = min(most, max(first, seen + at))
+        yield at, n
+        at += n
+
+
 def _scan(questions, batches: Iterator[pa.RecordBatch], k: int, id_type: pa.DataType) -> pa.Table:
     empty = pa.table(
         {"query": pa.array([], pa.int64()), "rank": pa.array([], pa.int64()), "row_id": pa.array([], id_type)}
     )
-    found = [empty]
+    found, fresh, seen = [empty], 0, 0
+    bar = np.full(len(questions.ids), _EXCLUDED, np.int64)
     for whole in batches:
-        for start in range(0, whole.num_rows, questions.block_rows):
-            batch = _present(whole.slice(start, questions.block_rows))
+        for start, n in _pieces(whole.num_rows, questions.first_rows, questions.block_rows, seen):
+            batch = _present(whole.slice(start, n))
             if not batch.num_rows:
                 continue
             # In row_id order the position in the block breaks ties.
             batch = batch.take(pc.sort_indices(batch.column("row_id")))
-            for asks, rows, ranks in questions.blocks(questions.load(batch)):
-                if not ranks.size:
+            names = batch.column("row_id").cast(id_type)
+            for query, row, rank in questions.found(questions.load(batch), k, bar):
+                if not len(query):
                     continue
-                packed = (ranks << 31) | rows[None, :]
-                if k < packed.shape[1]:
-                    packed = np.partition(packed, k - 1, axis=1)[:, :k]
-                query = np.repeat(asks, packed.shape[1])
-                packed = packed.ravel()
-                ok = (packed >> 31) < _EXCLUDED
-                rows = pa.array(packed[ok] & (2**31 - 1))
-                found.append(
-                    pa.table(
-                        {
-                            "query": pa.array(query[ok]),
-                            "rank": pa.array(packed[ok] >> 31),
-                            "row_id": batch.column("row_id").take(rows).cast(id_type),
-                        }
-                    )
-                )
-            if len(found) > 64:
-                found = [_best(found, k).drop_columns("place")]
+                found.append(pa.table({"query": pa.array(query), "rank": pa.array(rank), "row_id": names.take(pa.array(row))}))
+                fresh += len(query)
+                if fresh > 2 * k * len(bar) + (1 << 18):
+                    found, fresh = [_held(found, k, bar)], 0
+            if fresh > 2 * k * len(bar):
+                found, fresh = [_held(found, k, bar)], 0
+        seen += whole.num_rows
     return _best(found, k)
 
 
+def _held(found: list[pa.Table], k: int, bar: np.ndarray) -> pa.Table:
+    """The first ``k`` per question so far; their last ranks are the new bars."""
+    best = _best(found, k)
+    last = best.filter(pc.equal(best["place"], k))
+    query = last["query"].to_numpy()
+    bar[query] = np.minimum(bar[query], last["rank"].to_numpy())
+    return best.drop_columns("place")
+
+
 def _answer_table(questions, best: pa.Table) -> pa.Table:
     rank = best["rank"].to_numpy()
     distance = pa.array(rank / _SCALE, mask=rank == _UNDEFINED)

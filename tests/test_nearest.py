@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +237,27 @@ def test_candidates_of_many_tasks_merge_in_two_steps(spark, monkeypatch):
     monkeypatch.setattr(nearest, "_merge_groups", lambda df: 5)
     merged = nearest.knn(index, asked, 4)
     assert sorted(map(tuple, merged.collect())) == expected and "merge_group" in str(merged._jdf.queryExecution().toString())
+
+
+def test_a_scan_ranks_few_pairs_and_gives_the_hits_of_all(monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = rng.standard_normal((9_000, 8))
+    rows[4_000:6_500] = rows[7]  # copies
+    rows[[5, 8_000]] = 0.0
+    rows[6] = np.nan
+    asked = np.concatenate([rng.standard_normal((250, 8)), rows[[7, 5]]])
+    ids = rng.permutation(9_000)
+    lists = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), lists(rows)], ["row_id", "payload"])
+    questions = nearest.VectorQuestions(pa.table({"query_id": pa.array(np.arange(252)), "payload": lists(asked)}))
+    dense, block = [], nearest.VectorQuestions._block
+    monkeypatch.setattr(
+        nearest.VectorQuestions, "_block", lambda self, a, u, d: dense.append((len(a), len(u))) or block(self, a, u, d)
+    )
+    best = nearest._scan(questions, iter([batch.slice(i, 3_000) for i in (0, 3_000, 6_000)]), 4, pa.int64())
+    assert sum(a * n for a, n in dense) < 252 * 9_000 / 4 and max(a * n for a, n in dense) <= 128 * 8_192
+    ranks = block(questions, np.arange(252), *nearest._unit(rows))
+    for q in range(252):
+        order = np.lexsort((ids, ranks[q]))[:4]
+        mine = best.filter(pc.equal(best["query"], q))
+        assert mine["row_id"].to_pylist() == ids[order].tolist() and mine["rank"].to_pylist() == ranks[q, order].tolist()
