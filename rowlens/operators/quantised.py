@@ -1,9 +1,9 @@
 """Approximate nearest rows over product-quantised codes.
 
 A vector of unit length is cut into parts, and each part is replaced by the
-nearest of at most 256 centres that were trained for it: one byte per part. A
-question makes one table of products with all centres; the estimate for a row
-is the sum of the entries that its bytes name. A search reads codes only, keeps
+nearest of at most 256 centres that were trained for it: one byte per part. The
+estimate for a row is the product of a question with the centres that the row's
+bytes name, many rows and questions at once. A search reads codes only, keeps
 a shortlist per question, fetches the vectors of the shortlists and ranks them
 exactly, as :func:`rowlens.operators.nearest.knn` does.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rowlens.operators.nearest import BROADCAST_BYTES, BROADCAST_ROWS, _matrix, _ranks, _SCALE, _top_k, _unit, knn
+from rowlens.operators.nearest import BROADCAST_BYTES, _matrix, _ranks, _SCALE, _top_k, _unit, knn
 from rowlens.sources.scratch import kept
 
 CENTRES = 256
@@ -33,7 +33,9 @@ BUCKET_ROWS = 1 << 20
 SHORTLIST = 60
 SEED = 5
 # Questions and rows whose estimates are summed in one piece.
-ASKS_AT_ONCE, ROWS_AT_ONCE = 128, 4_096
+ASKS_AT_ONCE, ROWS_AT_ONCE = 512, 4_096
+# Questions sent to all tasks at once, at most; a task keeps a shortlist for each.
+SEARCH_ROWS = 65_536
 
 
 def _centres(points: np.ndarray, seed: int) -> np.ndarray:
@@ -94,10 +96,48 @@ class _Codebooks:
         cut = list(zip(self.bounds, self.bounds[1:]))
         return np.stack([_nearest(unit[:, a:b], c) for (a, b), c in zip(cut, self.centres)], axis=1).astype(np.uint8)
 
-    def tables(self, asked: np.ndarray) -> list[np.ndarray]:
-        """Products of each question's parts with all centres."""
-        cut = zip(self.bounds, self.bounds[1:])
-        return [(asked[:, a:b] @ c.T).astype(np.float32) for (a, b), c in zip(cut, self.centres)]
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The centres that the codes name, side by side: products with them are the estimates."""
+        return np.concatenate([c[codes[:, i]] for i, c in enumerate(self.centres)], axis=1).astype(np.float32)
+
+
+class _Shortlist:
+    """The ``n`` best estimates of a few questions; a row must reach the least of them to be kept."""
+
+    def __init__(self, asked: np.ndarray, n: int):
+        self.asked, self.n = asked.astype(np.float32), n
+        self.least = np.full(len(asked), -np.inf, np.float32)
+        self.held: list[tuple] = []
+        self.fresh = 0
+
+    def add(self, decoded: np.ndarray, first: int) -> None:
+        """Rows numbered from ``first``."""
+        sums = self.asked @ decoded.T
+        if len(decoded) > self.n and not np.isfinite(self.least).any():
+            row = np.argpartition(-sums, self.n - 1, axis=1)[:, : self.n].ravel()
+            query = np.repeat(np.arange(len(sums)), self.n)
+        else:
+            query, row = np.nonzero(sums >= self.least[:, None])
+        if len(query):
+            self.held.append((query, row + first, sums[query, row]))
+            self.fresh += len(query)
+            if self.fresh > 2 * self.n * len(self.least):
+                self._cut()
+
+    def _cut(self) -> None:
+        query, row, score = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((row, -score, query))
+        query, row, score = query[order], row[order], score[order]
+        starts = np.searchsorted(query, np.arange(len(self.least)))
+        nth = np.arange(len(query)) - starts[query]
+        last = nth == self.n - 1
+        self.least[query[last]] = score[last]
+        keep = nth < self.n
+        self.held, self.fresh = [(query[keep], row[keep], score[keep])], 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._cut()
+        return self.held[0]
 
 
 class ProductIndex:
@@ -168,42 +208,31 @@ class ProductIndex:
             known = np.flatnonzero(defined) if books.value else np.zeros(0, np.int64)
             if len(known) and unit.shape[1] != books.value.dim:
                 raise ValueError(f"questions have {unit.shape[1]} elements, the index has {books.value.dim}")
-            tables = books.value.tables(unit[known]) if len(known) else []
-            held: list[tuple] = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(known)
+            lists = [_Shortlist(unit[known[lo : lo + ASKS_AT_ONCE]], n) for lo in range(0, len(known), ASKS_AT_ONCE)]
             rows, seen = [], 0
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                     batch = whole.slice(at, ROWS_AT_ONCE)
                     code = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(batch), -1)
                     rows.append(batch.column("row_id"))
-                    places = np.arange(seen, seen + len(batch))
+                    if lists:
+                        decoded = books.value.decode(code)
+                    for some in lists:
+                        some.add(decoded, seen)
                     seen += len(batch)
-                    for lo in range(0, len(known), ASKS_AT_ONCE):
-                        hi = min(lo + ASKS_AT_ONCE, len(known))
-                        sums = np.zeros((hi - lo, len(batch)), np.float32)
-                        for i, t in enumerate(tables):
-                            sums += t[lo:hi].take(code[:, i], axis=1)
-                        best = np.argpartition(-sums, n - 1, axis=1)[:, :n] if len(batch) > n else np.tile(np.arange(len(batch)), (hi - lo, 1))
-                        for q in range(lo, hi):
-                            score, place = held[q]
-                            score = np.concatenate([score, sums[q - lo, best[q - lo]]])
-                            place = np.concatenate([place, places[best[q - lo]]])
-                            if len(score) > n:
-                                top = np.argpartition(-score, n - 1)[:n]
-                                score, place = score[top], place[top]
-                            held[q] = score, place
-            if not seen or not len(known):
+            if not seen or not lists:
                 return
             all_rows = pa.chunked_array(rows).combine_chunks()
-            sizes = [len(s) for s, _ in held]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    names.take(pa.array(np.repeat(known, sizes))),
-                    all_rows.take(pa.array(np.concatenate([p for _, p in held]))),
-                    pa.array(np.concatenate([s for s, _ in held]).astype(np.float64)),
-                ],
-                ["query_id", "row_id", "estimate"],
-            )
+            for i, some in enumerate(lists):
+                query, row, score = some.result()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        names.take(pa.array(known[query + i * ASKS_AT_ONCE])),
+                        all_rows.take(pa.array(row)),
+                        pa.array(score.astype(np.float64)),
+                    ],
+                    ["query_id", "row_id", "estimate"],
+                )
 
         found = codes.mapInArrow(scan, kinds)
         order = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "row_id")
@@ -238,7 +267,7 @@ class ProductIndex:
         return _top_k(joined.mapInArrow(measure, schema), k)
 
     def search(
-        self, questions: DataFrame, k: int = 5, shortlist: int = SHORTLIST, vector: str = "embedding", broadcast_rows: int = BROADCAST_ROWS
+        self, questions: DataFrame, k: int = 5, shortlist: int = SHORTLIST, vector: str = "embedding", broadcast_rows: int = SEARCH_ROWS
     ) -> DataFrame:
         """``query_id, rank, row_id, distance`` for ``questions(query_id, embedding)``.
 

@@ -11,7 +11,7 @@ from rowlens.operators.explore import search
 from rowlens.operators.identity import ROW_ID, add_row_ids, dedup_rows
 from rowlens.operators.nearest import knn, lexical_topk
 from rowlens.operators.postings import TokenIndex
-from rowlens.operators.quantised import ProductIndex
+from rowlens.operators.quantised import ProductIndex, _Shortlist
 from rowlens.operators.store import RowStore
 from rowlens.operators.trigrams import TrigramIndex, grams_of
 
@@ -64,6 +64,21 @@ def test_questions_without_a_direction_are_searched_exactly(spark, vectors, tmp_
     assert rows_of(few.search(asked, 9)) == rows_of(knn(vectors.where("row_id < 3"), asked, 9))
 
 
+def test_a_shortlist_holds_the_best_estimates_of_all_rows():
+    rng = np.random.default_rng(3)
+    asked, rows = rng.standard_normal((7, 6)).astype(np.float32), rng.integers(-2, 3, (900, 6)).astype(np.float32)
+    some = _Shortlist(asked, 20)
+    for at in range(0, 900, 100):
+        some.add(rows[at : at + 100], at)
+        # Only what reaches the least of a question's shortlist is held on to.
+        assert sum(len(q) for q, _, _ in some.held) <= 3 * 20 * 7 + 7 * 100
+    query, row, score = some.result()
+    sums = asked @ rows.T
+    for q in range(7):
+        assert np.allclose(np.sort(score[query == q]), np.sort(sums[q])[-20:])
+        assert np.allclose(sums[q, row[query == q]], score[query == q]) and len(set(row[query == q])) == 20
+
+
 # -- postings --------------------------------------------------------------------
 
 
